@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
+from . import decontam, mixing, neardup, pii, quality, secrets, toxicity
 from .common import stable_bucket, table
 
 TOXIC_CUT, QUALITY_CUT = 0.5, 0.7
@@ -30,9 +30,154 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply(documents, model).select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)."""
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != pii.KIND)
+    return found.select("doc_id", *map(count, pii.PATTERNS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: (doc_id, n_shingles, component_id, kept)."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+#: Powers of the present token shares that the mixture aims at.
+MIX_POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampling decision for every document: (doc_id, source, lang, topic, n_tokens, probability, kept)."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_POWERS)
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
+
+
+def _joined(spans):
+    """kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: (doc_id, n_assign, n_access, n_hex, base_sha256, spans)."""
+    found = secrets.secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("found", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select("doc_id", *map(count, secrets.BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
+    "op3_pii": op3_pii,
+    "op4_minhash": op4_minhash,
+    "op7_decontamination": op7_decontamination,
+    "op8_mixing": op8_mixing,
+    "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Smallest id that links reach, by repeated steps along links.
+_REACHED = """
+reached(id, component) AS (
+  SELECT id, id FROM nodes
+  UNION
+  SELECT links.b, reached.component FROM reached JOIN links ON links.a = reached.id WHERE reached.component < links.b
+)"""
+
+_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+def _mixing_sql(documents: str) -> str:
+    """The raking of op8, with every round and margin spelt out."""
+    tests = " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{t}'" for t, p in mixing.TOPICS.items() if p)
+    parts = [
+        f"given AS (SELECT doc_id, source, lang, CASE {tests} ELSE '{list(mixing.TOPICS)[-1]}' END AS topic, "
+        rf"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM {documents})",
+        "cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM given GROUP BY ALL HAVING sum(n_tokens) > 0)",
+    ]
+    for m, p in MIX_POWERS.items():
+        parts.append(f"target_{m} AS (SELECT {m} AS key, t / sum(t) OVER () AS target FROM (SELECT {m}, pow(sum(tokens), {p}) AS t FROM cells GROUP BY ALL))")
+    last = "(SELECT *, CAST(tokens AS DOUBLE) AS weight FROM cells)"
+    for k in range(mixing.ROUNDS):
+        for m in MIX_POWERS:
+            parts.append(
+                f"raked_{k}_{m} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, c.weight * (t.target / s.total) AS weight FROM {last} c "
+                f"JOIN (SELECT {m} AS key, sum(weight) AS total FROM {last} GROUP BY ALL) s ON s.key IS NOT DISTINCT FROM c.{m} "
+                f"JOIN target_{m} t ON t.key IS NOT DISTINCT FROM c.{m})"
+            )
+            last = f"raked_{k}_{m}"
+    parts.append(
+        f"rates AS (SELECT *, round(least(1.0, weight * {mixing.BUDGET} * sum(tokens) OVER () / tokens), 9) AS rate FROM {last})"
+    )
+    same = " AND ".join(f"r.{m} IS NOT DISTINCT FROM g.{m}" for m in mixing.MARGINS)
+    return (
+        f"WITH {', '.join(parts)} SELECT doc_id, g.source, g.lang, g.topic, n_tokens, probability, "
+        "CAST('0x' || substr(sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 < probability AS kept "
+        "FROM (SELECT g.*, CASE WHEN n_tokens > 0 THEN coalesce(rate, 0.0) ELSE 0.0 END AS probability "
+        f"FROM given g LEFT JOIN rates r ON {same}) g"
+    )
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_minhash": rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id AS id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), words AS (
+  SELECT id, len(w) AS k, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM texts
+), runs AS (
+  SELECT id, k, word || coalesce(' ' || lead(word) OVER o, '') || coalesce(' ' || lead(word, 2) OVER o, '') AS shingle, p
+  FROM words WINDOW o AS (PARTITION BY id ORDER BY p)
+), shingles AS MATERIALIZED (
+  SELECT id, shingle, count(*) OVER (PARTITION BY id) AS n FROM (SELECT DISTINCT id, shingle FROM runs WHERE p <= greatest(k - 2, 1))
+), nodes AS MATERIALIZED (
+  SELECT doc_id AS id, coalesce(n, 0) AS n FROM documents LEFT JOIN (SELECT id, any_value(n) AS n FROM shingles GROUP BY id) ON id = doc_id
+), links AS MATERIALIZED (
+  SELECT x.id AS a, y.id AS b FROM shingles x JOIN shingles y USING (shingle)
+  WHERE x.id <> y.id AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)
+  GROUP BY x.id, y.id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), {_REACHED}
+SELECT id AS doc_id, CAST(n AS BIGINT) AS n_shingles, CAST(component AS BIGINT) AS component_id, id = component AS kept
+FROM nodes JOIN (SELECT id, min(component) AS component FROM reached GROUP BY id) USING (id)
+""",
+    "op7_decontamination": rf"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_WORD}) AS w FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_WORD}) AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i+9], ' ') AS t
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM windows
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM texts
+), ahead AS (
+  SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS w FROM words
+), places AS (
+  SELECT doc_id, n, i, array_to_string(w[1:n], ' ') AS t FROM ahead, sizes WHERE len(w) >= n
+), hits AS (SELECT doc_id, item, n, i FROM places JOIN windows USING (n, t)
+), hit_words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+), hit_items AS (
+  SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+""",
+    "op8_mixing": _mixing_sql("documents"),
+}
