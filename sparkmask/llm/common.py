@@ -23,6 +23,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded_batches(df: DataFrame, rows: int = 512, size: str = "16m") -> SparkSession:
+    """Has Spark hand Python at most so many rows and bytes at once; texts and sets can be long.
+
+    The settings belong to the session, as plans read them when they are made; smaller ones that it has stay.
+    """
+    spark = df.sparkSession
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if now <= 0 or now > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return spark
+
+
 def stable_bucket(col, buckets: int):
     """The remainder of crc32 of a key's text."""
     return F.crc32(col.cast("string").cast("binary")) % buckets

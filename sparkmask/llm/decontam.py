@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import bounded_batches, chunks
 from .textops import ALNUM, U64, Words, constants, mix
 
 SHINGLE = 3
@@ -140,6 +140,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 10, i
     ranges are the hit runs of words as [first, end) pairs, flat.  Null and empty texts have no words.  Words are
     compared by 64-bit hashes, all words of a window each.  Repeated ids and repeated rows are rows of their own.
     """
+    bounded_batches(documents)
     kind = dict(documents.dtypes)[id_col]
     given = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     given = given.withColumns({"n_words": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "ranges": F.array().cast("array<long>")})

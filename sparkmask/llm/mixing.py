@@ -4,7 +4,7 @@ Tokens are summed over the cells of source x language x topic.  Raking scales th
 margin meet its target shares; a document's probability follows from its cell's weight, and a hash of its id decides.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -48,19 +48,22 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     """cells (the margins' columns and tokens) with `weight`: the raked share of all tokens that a cell should have.
 
     targets: by margin, (key, target) whose targets add up to 1.  A cell without tokens, or with a key that has no
-    target, gets weight 0.  After the last round the sums over the last margin are met exactly and the others as nearly
+    target, gets weight 0.  Only cells are shuffled, of which there are as many as margins' values combine, however many
+    documents there are.  After the last round the sums over the last margin are met exactly and the others as nearly
     as the rounds allow; zero cells can make targets that no weights meet.
     """
-    now = cut(cells.withColumn("weight", F.col("tokens").cast("double")))
+    now = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for margin, target in targets.items():
+        given = target.select(F.col("key").alias("_key"), F.col("target").alias(f"_target_{margin}"))
+        now = now.join(given, F.col("_key").eqNullSafe(F.col(margin)), "left").drop("_key")
+    now = cut(now)
     for _ in range(rounds):
-        for margin, target in targets.items():
-            sums = now.groupBy(F.col(margin).alias("key")).agg(F.sum("weight").alias("sum"))
-            factor = sums.join(target, sums["key"].eqNullSafe(target["key"]), "left").select(
-                sums["key"].alias("key"), F.when(F.col("sum") > 0, F.coalesce("target", F.lit(0.0)) / F.col("sum")).otherwise(0.0).alias("factor")
-            )
-            now = now.join(factor, now[margin].eqNullSafe(factor["key"]), "left").select(*cells.columns, (F.col("weight") * F.col("factor")).alias("weight"))
+        for margin in targets:
+            total = F.sum("weight").over(Window.partitionBy(margin))
+            scaled = F.when(total > 0, F.col("weight") * (F.coalesce(f"_target_{margin}", F.lit(0.0)) / total))
+            now = now.withColumn("weight", F.coalesce(scaled, F.lit(0.0)))
         now = cut(now)
-    return now
+    return now.select(*cells.columns, "weight")
 
 
 def mix(documents: DataFrame, powers: dict[str, float], budget: float = BUDGET, rounds: int = ROUNDS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, neardup, pii, quality, secrets, toxicity
+from . import decontam, html, licenses, mixing, neardup, pii, quality, secrets, toxicity, vectors
 from .common import stable_bucket, table
 
 TOXIC_CUT, QUALITY_CUT = 0.5, 0.7
@@ -43,6 +43,16 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all vectors: (vec_id, n_links, component_id, kept)."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of all documents: (doc_id, start, end, license, reduction, n_words, n_different, exact)."""
+    return licenses.license_blocks(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -66,6 +76,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article's text of every page: (page_id, url, text, n_chars)."""
+    return html.article_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def _joined(spans):
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -84,8 +99,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_pii": op3_pii,
     "op4_minhash": op4_minhash,
+    "op5_embeddings": op5_embeddings,
+    "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
     "op8_mixing": op8_mixing,
+    "op9_html": op9_html,
     "op10_secrets": op10_secrets,
 }
 
@@ -153,6 +171,22 @@ WITH RECURSIVE texts AS (
 ), {_REACHED}
 SELECT id AS doc_id, CAST(n AS BIGINT) AS n_shingles, CAST(component AS BIGINT) AS component_id, id = component AS kept
 FROM nodes JOIN (SELECT id, min(component) AS component FROM reached GROUP BY id) USING (id)
+""",
+    "op5_embeddings": f"""
+WITH RECURSIVE vectors AS MATERIALIZED (
+  SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), usable AS MATERIALIZED (
+  SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM vectors
+  WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT x.id AS a, y.id AS b FROM usable x JOIN usable y ON x.label = y.label AND len(x.v) = len(y.v) AND x.id <> y.id
+  WHERE list_dot_product(x.v, y.v) / (x.norm * y.norm) >= 0.98
+), nodes AS (SELECT id FROM vectors
+), {_REACHED}
+SELECT id AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(component AS BIGINT) AS component_id, id = component AS kept
+FROM (SELECT id, min(component) AS component FROM reached GROUP BY id)
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = id
 """,
     "op7_decontamination": rf"""
 WITH texts AS (

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import bounded_batches, chunks
 
 #: Kinds in the order that breaks ties; those after BASE are what the method adds.
 BASE = ("assign", "access", "hex")
@@ -98,6 +98,7 @@ def secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     With `redact` the text's secrets, overlapping ones as one, are replaced by it.  Null and empty texts have none, and
     a null text stays null.  Every row is a row of the result; a column of the name `found` is replaced.
     """
+    bounded_batches(documents)
     name = "found"
     fields = [f for f in documents.schema.fields if f.name != name]
     schema = documents.select(*[F.col(f"`{f.name}`") for f in fields]).withColumn(name, F.lit(None).cast("array<struct<kind:string,start:int,end:int>>")).schema
