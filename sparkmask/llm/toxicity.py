@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import bounded_batches, chunks
 from .textops import U64, Words, mix, powers
 
 WIDTH, STRIDE = 16, 8
@@ -25,6 +25,8 @@ BUCKETS = 1 << 16
 TRAIN_ROWS, TRAIN_CHARS = 6_000, 20_000
 #: Steps of gradient descent a round, and windows a step: the cost of training doesn't depend on the input.
 STEPS, BATCH = 350, 128
+#: Texts of the training set that must hold a word or an n-gram for a vector of its own.
+SUPPORT = 4
 CHUNK = 1 << 20
 
 _LETTERS = np.zeros(256, bool)
@@ -38,8 +40,9 @@ class Lexicon:
     def __init__(self, texts: list[str | None]):
         w = Words([(t or "").lower() for t in texts], _LETTERS)
         self.first = w.first
-        _, at, self.index = np.unique(w.hash, return_index=True, return_inverse=True)
-        self.word = (w.hash[at] >> U64(48)).astype(np.int64)
+        _, at, index = np.unique(w.hash, return_index=True, return_inverse=True)
+        self.index = index.astype(np.int32)
+        self.word = (w.hash[at] >> U64(48)).astype(np.uint16)
         start, end = w.start[at], w.end[at]
         up, down = powers(len(w.buffer) + 1)
         data = np.frombuffer(w.buffer, np.uint8).astype(U64)
@@ -57,10 +60,18 @@ class Lexicon:
             gram.append((total[place + _INNER] - total[place]) * down[place])
             owner, gram = np.concatenate(owner), mix(np.concatenate(gram)) >> U64(48)
         order = np.argsort(owner, kind="stable")
-        self.gram = gram[order].astype(np.int64)
+        self.gram = gram[order].astype(np.uint16)
         self.grams = np.bincount(owner, minlength=len(at))
         self.gram_first = np.concatenate([[0], np.cumsum(self.grams)])
 
+    def blocks(self, size: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(words that have n-grams, these n-grams, first one of each word), by blocks of words."""
+        for i in range(0, len(self.word), size):
+            j = min(i + size, len(self.word))
+            has = i + np.flatnonzero(self.grams[i:j])
+            if len(has):
+                yield has, self.gram[self.gram_first[i] : self.gram_first[j]], self.gram_first[has] - self.gram_first[i]
+
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word index, whether there is a word, document) of all overlapping windows of texts that have words."""
         n = np.diff(self.first)
@@ -76,10 +87,8 @@ def inputs(model: dict, lexicon: Lexicon) -> np.ndarray:
     """A row per distinct word: its own vector, and its n-grams' sum over the root of their number."""
     x = np.zeros((len(lexicon.word), WORD_DIM + CHAR_DIM), np.float32)
     x[:, :WORD_DIM] = model["words"][lexicon.word]
-    has = np.flatnonzero(lexicon.grams)
-    if len(has):
-        sums = np.add.reduceat(model["chars"][lexicon.gram], lexicon.gram_first[has], axis=0)
-        x[has, WORD_DIM:] = sums / np.sqrt(lexicon.grams[has])[:, None]
+    for has, gram, first in lexicon.blocks():
+        x[has, WORD_DIM:] = np.add.reduceat(model["chars"][gram], first, axis=0) / np.sqrt(lexicon.grams[has])[:, None]
     return x
 
 
@@ -161,27 +170,29 @@ def new_model(rng: np.random.Generator) -> dict:
     }
 
 
-def evidence(lexicon: Lexicon, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A number per distinct word: the best log-odds of its bucket or of one of its n-grams, by texts that hold it."""
-    by_doc = np.unique(doc * len(lexicon.word) + lexicon.index)
-    d, word = by_doc // len(lexicon.word), by_doc % len(lexicon.word)
-
-    def odds(docs: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        pairs = np.unique(docs * BUCKETS + bucket)
-        docs, bucket = pairs // BUCKETS, pairs % BUCKETS
-        yes = np.bincount(bucket, weights=y[docs], minlength=BUCKETS)
-        no = np.bincount(bucket, weights=1 - y[docs], minlength=BUCKETS)
-        rate = np.log((yes + 0.2) / (y.sum() + 1)) - np.log((no + 0.2) / ((1 - y).sum() + 1))
-        return np.where(yes + no >= 3, rate, 0)
-
-    own = odds(d, lexicon.word[word])[lexicon.word]
-    n = lexicon.grams[word]
-    at = np.repeat(lexicon.gram_first[word], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    of_gram = odds(np.repeat(d, n), lexicon.gram[at])[lexicon.gram]
-    has = np.flatnonzero(lexicon.grams)
-    if len(has):
-        own[has] = np.maximum(own[has], np.maximum.reduceat(of_gram, lexicon.gram_first[has]))
-    return own
+def evidence(lexicon: Lexicon, y: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number per distinct word: the best log-odds of its bucket or of one of its n-grams, by the texts of `use`; and
+    which buckets of words and of n-grams so many texts hold that vectors for them are learned."""
+    seen = np.zeros((2, 2, BUCKETS))  # words and n-grams, by label
+    size = len(lexicon.word)
+    for d0, d1 in chunks(np.diff(lexicon.first), 1 << 17):
+        part = slice(lexicon.first[d0], lexicon.first[d1])
+        doc = np.repeat(np.arange(d0, d1), np.diff(lexicon.first[d0 : d1 + 1]))
+        pairs = np.unique((doc * size + lexicon.index[part])[use[doc]])
+        doc, word = pairs // size, pairs % size
+        n = lexicon.grams[word]
+        at = np.repeat(lexicon.gram_first[word], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        for k, docs, bucket in ((0, doc, lexicon.word[word]), (1, np.repeat(doc, n), lexicon.gram[at])):
+            pairs = np.unique(docs * BUCKETS + bucket)
+            for label in (0, 1):
+                seen[k, label] += np.bincount(pairs[y[pairs // BUCKETS] == label] % BUCKETS, minlength=BUCKETS)
+    total = [np.sum(y[use] == label) for label in (0, 1)]
+    rate = np.log((seen[:, 1] + 0.2) / (total[1] + 1)) - np.log((seen[:, 0] + 0.2) / (total[0] + 1))
+    rate = np.where(seen.sum(axis=1) >= 3, rate, 0)
+    out = rate[0][lexicon.word]
+    for has, gram, first in lexicon.blocks():
+        out[has] = np.maximum(out[has], np.maximum.reduceat(rate[1][gram], first))
+    return out, seen.sum(axis=1) >= SUPPORT
 
 
 def train(texts: list[str], y: np.ndarray, seed: int = 5) -> dict:
@@ -201,19 +212,19 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> dict:
     held = np.array([zlib.crc32(f"{seed}:{i}".encode()) % 5 == 0 for i in range(len(texts))])
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
         held[:] = False
-    word_doc = np.repeat(np.arange(len(texts)), np.diff(lexicon.first))
-    use = ~held[word_doc]
-    part = Lexicon.__new__(Lexicon)
-    part.__dict__ |= lexicon.__dict__ | {"index": lexicon.index[use]}
-    odds = evidence(part, word_doc[use], y)
-    rank = (np.maximum(0, odds - 2)[index] * real).sum(axis=1)
+    odds, learned = evidence(lexicon, y, ~held)
+    odds = np.maximum(0, odds - 1.5).astype(np.float32)
+    rank = (odds[index] * real).sum(axis=1)
     words_state, chars_state = np.full(BUCKETS, 1e-8, np.float32), np.full(BUCKETS, 1e-8, np.float32)
     first, second, step = {}, {}, 0
     pool = np.flatnonzero(~held[doc])
     for _ in range(2):
         order = pool[np.lexsort((-rank[pool], doc[pool]))]
         top = order[np.concatenate([[True], doc[order][1:] != doc[order][:-1]])]
-        yes, no = top[y[doc[top]] == 1], top[y[doc[top]] == 0]
+        best = np.zeros(len(texts))
+        best[doc[top]] = rank[top]
+        marked = pool[(y[doc[pool]] == 1) & (rank[pool] >= np.maximum(best[doc[pool]] * 0.6, 1e-6))]
+        yes, no = np.union1d(marked, top[y[doc[top]] == 1]), top[y[doc[top]] == 0]
         clean = pool[y[doc[pool]] == 0]
         hard = clean[np.argsort(-rank[clean], kind="stable")[: len(yes) * 4]]
         if not len(yes) or not len(no):
@@ -222,7 +233,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> dict:
             step += 1
             rate = 1.0 if k < STEPS * 0.7 else 0.25
             chosen = np.concatenate([rng.choice(yes, BATCH // 2), rng.choice(no, BATCH // 4), rng.choice(hard, BATCH // 8), rng.choice(clean, BATCH // 8)])
-            _step(model, lexicon, index[chosen], real[chosen], y[doc[chosen]].astype(np.float32), (words_state, chars_state), first, second, step, rate)
+            _step(model, lexicon, index[chosen], real[chosen], y[doc[chosen]].astype(np.float32), (words_state, chars_state), learned, first, second, step, rate)
         rank = _logits(model, inputs(model, lexicon), index, real)
     at = np.flatnonzero(held[doc] if held.any() else np.ones(len(doc), bool))
     worst = np.full(len(texts), -np.inf)
@@ -247,7 +258,7 @@ def _joined(texts: list[str]) -> Lexicon:
     return whole
 
 
-def _step(model, lexicon, index, real, y, states, first, second, step, rate) -> None:
+def _step(model, lexicon, index, real, y, states, learned, first, second, step, rate) -> None:
     """One step: Adam for the network, Adagrad for the rows of the tables that took part."""
     used, inside = np.unique(index, return_inverse=True)
     inside = inside.reshape(index.shape)
@@ -268,10 +279,11 @@ def _step(model, lexicon, index, real, y, states, first, second, step, rate) ->
         else:
             model[name] = (model[name] - move).astype(np.float32)
     owner = np.repeat(np.arange(len(used)), n)
-    for table, rows, g, total in (
-        ("words", small.word, d_x[:, :WORD_DIM], states[0]),
-        ("chars", small.gram, d_x[owner, WORD_DIM:] / np.sqrt(np.maximum(1, n[owner]))[:, None], states[1]),
+    for table, rows, g, total, may in (
+        ("words", small.word, d_x[:, :WORD_DIM], states[0], learned[0]),
+        ("chars", small.gram, d_x[owner, WORD_DIM:] / np.sqrt(np.maximum(1, n[owner]))[:, None], states[1], learned[1]),
     ):
+        rows, g = rows[may[rows]], g[may[rows]]
         where, back = np.unique(rows, return_inverse=True)
         sums = np.zeros((len(where), g.shape[1]), np.float32)
         np.add.at(sums, back, g)
@@ -280,15 +292,11 @@ def _step(model, lexicon, index, real, y, states, first, second, step, rate) ->
 
 
 def _best_cut(worst: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the widest place among those where fewest labels are on the wrong side."""
-    order = np.argsort(worst, kind="stable")
-    s, t = worst[order], y[order]
-    wrong = np.concatenate([[np.sum(t == 0)], np.sum(t == 0) - np.cumsum(t == 0) + np.cumsum(t == 1)])
-    edges = np.concatenate([[s[0] - 2], s, [s[-1] + 2]])
-    gaps = np.diff(edges)
-    best = np.flatnonzero(wrong == wrong.min())
-    k = best[np.argmax(gaps[best])]
-    return float((edges[k] + edges[k + 1]) / 2)
+    """The logit from -4 to 4 with the least errors on held-back texts; false alarms count twice, distance from 0 a little."""
+    cuts = np.linspace(-4, 4, 81)
+    yes, no = np.sort(worst[y == 1]), np.sort(worst[y == 0])
+    errors = np.searchsorted(yes, cuts) + 2 * (len(no) - np.searchsorted(no, cuts)) + 0.02 * len(yes) * np.abs(cuts)
+    return float(cuts[np.argmin(errors)])
 
 
 def _logits(model: dict, x: np.ndarray, index: np.ndarray, real: np.ndarray, block: int = 4096) -> np.ndarray:
@@ -331,6 +339,7 @@ def apply(documents: DataFrame, model: dict, id_col: str = "doc_id", text_col: s
             s = score(model, b.column("text").to_pylist())
             yield pa.record_batch([b.column("id"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["id", "score", "predicted"])
 
+    bounded_batches(documents)
     kind = dict(documents.dtypes)[id_col]
     out = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(rate, f"id {kind}, score double, predicted int")
     return out.withColumnRenamed("id", id_col)
