@@ -41,22 +41,24 @@ INLINE = frozenset(
 #: Elements that a new block ends when they were left open.
 _CLOSED_BY_BLOCK = frozenset(["p", *INLINE])
 #: Least weight of a word of the article and least cost of a tag; how much weight a log-odds unit of a tag has.
-WORD, TAG, TAG_SCALE = 1.0, -0.02, 2.0
+WORD, TAG, TAG_SCALE = 1.0, -0.02, 6.0
 #: Words and tags inside an element that isn't the article's.
-OUTSIDE_WORD, OUTSIDE_TAG = -0.1, -0.5
+OUTSIDE_WORD, OUTSIDE_TAG = -0.1, -0.1
 
 
 class Token:
-    __slots__ = ("kind", "name", "outside", "text")
+    """A run of text or a tag.  key is what a tag's weight goes by: its name, with a dot if the element has attributes."""
 
-    def __init__(self, kind: str, name: str, outside: bool, text: str = ""):
-        self.kind, self.name, self.outside, self.text = kind, name, outside, text
+    __slots__ = ("key", "kind", "name", "outside", "text")
+
+    def __init__(self, kind: str, name: str, outside: bool, text: str = "", key: str = ""):
+        self.kind, self.name, self.outside, self.text, self.key = kind, name, outside, text, key
 
 
 def tokens(page: str) -> list[Token]:
     """Words' runs and tags in page order, each with whether it stands inside an element that isn't the article's."""
     out: list[Token] = []
-    open_: list[tuple[str, bool]] = []  # name, whether it opens an outside part
+    open_: list[tuple[str, bool, str]] = []  # name, whether it opens an outside part, key
     depth = 0
     for m in _TOKEN.finditer(page):
         name = m["name"]
@@ -68,25 +70,26 @@ def tokens(page: str) -> list[Token]:
             continue
         name = name.lower()
         if name.startswith("/"):
-            bare = name[1:]
-            if any(n == bare for n, _ in open_):
+            bare, key, hidden = name[1:], name[1:], depth > 0
+            if any(n == bare for n, _, _ in open_):
                 while open_:
-                    n, hides = open_.pop()
+                    n, hides, key = open_.pop()
                     depth -= hides
                     if n == bare:
                         break
-            out.append(Token("tag", name, depth > 0))
+            out.append(Token("tag", name, hidden, key=f"/{key}"))
             continue
         if name not in INLINE and name != "br":
-            while open_ and open_[-1][0] in _CLOSED_BY_BLOCK and any(n == "p" for n, _ in open_[-8:]):
+            while open_ and open_[-1][0] in _CLOSED_BY_BLOCK and any(n == "p" for n, _, _ in open_[-8:]):
                 depth -= open_.pop()[1]
-        hides = name in OUTSIDE or name == "header" and not any(n in ("article", "main") for n, _ in open_)
+        hides = name in OUTSIDE or name == "header" and not any(n in ("article", "main") for n, _, _ in open_)
         if m["attrs"] and name not in ("html", "body", "article", "main"):
             words = {w for groups in _HINT.findall(m["attrs"]) for w in re.split(r"[^a-z]+", "".join(groups).lower())}
             hides = hides or not HINTS.isdisjoint(words)
-        out.append(Token("tag", name, depth > 0 or hides))
+        key = name + "." * bool(m["attrs"].strip(" /") and name not in VOID)
+        out.append(Token("tag", name, depth > 0 or hides, key=key))
         if name not in VOID and not m["attrs"].endswith("/"):
-            open_.append((name, hides))
+            open_.append((name, hides, key))
             depth += hides
     return out
 
@@ -103,7 +106,7 @@ def learn(pages: list[str]) -> dict[str, float]:
             if t.name in ("x-start", "x-end"):
                 now = inside if t.name == "x-start" else outside
             elif t.kind == "tag" and not t.outside and t.name.lstrip("/") not in INLINE:
-                now[t.name] += 1
+                now[t.key] += 1
     total_in, total_out = sum(inside.values()), sum(outside.values())
     odds = {n: math.log((inside[n] + 0.5) / (total_in + 1)) - math.log((outside[n] + 0.5) / (total_out + 1)) for n in inside | outside}
     return {n: min(TAG, TAG_SCALE * (o - 0.5)) for n, o in odds.items()}
@@ -118,7 +121,7 @@ def region(sequence: list[Token], weights: dict[str, float]) -> tuple[int, int]:
             n = len(t.text.split())
             total += OUTSIDE_WORD * n if t.outside else WORD * n
         else:
-            total += OUTSIDE_TAG if t.outside else weights.get(t.name, unknown)
+            total += OUTSIDE_TAG if t.outside else weights.get(t.key, unknown)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:

@@ -22,7 +22,7 @@ PATTERNS = {
 #: What must occur in a text for a pattern to be tried.
 NEEDED = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: A candidate: six digits and more with letters and marks between them, not inside a longer token.
-CANDIDATE = r"(?<![A-Za-z0-9._%+@/-])(?:[A-Za-z]{1,5}[-#]?)?[0-9](?:[-./ ]?[0-9A-Za-z]){5,39}+(?![A-Za-z0-9@])"
+CANDIDATE = r"(?<![A-Za-z0-9._%+@/-])(?:[A-Za-z]{1,5}[-#]?)?[0-9](?:[-./]?[0-9A-Za-z]| [0-9]){5,39}+(?![A-Za-z0-9@])"
 CANDIDATE_DIGITS = 6
 KIND = "ident"
 #: Rounds over the graph; least confidence of a pattern; least number of distinct believed instances behind it.
