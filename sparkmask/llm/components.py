@@ -1,11 +1,25 @@
 """Connected components of an edge table, by smallest label, with pointer jumping."""
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest index that links (i, j) reach, for each of n indices in memory."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, i, root[j])
+        np.minimum.at(low, j, root[i])
+        low = low[low]
+        if np.array_equal(low, root):
+            return root
+        root = low
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every vertex in `edges` (a, b); component is the smallest id that links reach.
 

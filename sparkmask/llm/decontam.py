@@ -16,7 +16,7 @@ from .common import bounded_batches, chunks
 from .textops import ALNUM, U64, Words, constants, mix
 
 SHINGLE = 3
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Characters of benchmark text that one pass over the documents carries to the tasks.
 BLOCK_CHARS = 8_000_000
 

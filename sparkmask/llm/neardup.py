@@ -5,8 +5,8 @@ parity bitmap (an odd sketch).  Two bitmaps' XOR has at most two set bits for ea
 population count bounds the similarity of the pair; pairs that survive are confirmed on their full sets.
 
 No bucket is expanded into its pairs.  First equal sets become one representative.  Then each bucket compares its
-members with its smallest one, which settles every bucket whose members end up in one component.  What is left is
-compared in blocks of bounded size: only pairs across components, and only those that the sketches let pass, are made.
+members with its best connected one, which settles every bucket whose members end up in one component.  What is left is
+compared in blocks of bounded size, across components alone, and gives at most one edge a member and block.
 """
 
 from collections.abc import Iterator
@@ -17,19 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, chunks, cut
-from .components import connected_components
+from .common import bounded_batches, broadcast_if_small, chunks, cut
+from .components import connected_components, roots
 from .textops import U64, Words, constants, mix
 
-#: A pair at the threshold 0.85 shares no band with probability (1 - 0.85**ROWS)**BANDS, below 1e-6.
-BANDS, ROWS = 24, 5
-SAMPLES = BANDS * ROWS
+SAMPLES = 120
+#: Probability with which a pair at the threshold may share no band.
+MISS = 1e-6
 SKETCH_WORDS = 8  # 512 bits
 #: Members of a block in the last comparison.
 BLOCK = 256
 #: Ids of documents to be compared in full that are broadcast at most; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Columns of the matrices that sets are compared by.
+COLUMNS = 4096
 
 _A = (constants(SAMPLES, 41) & U64(0xFFFFFFFF)).astype(np.uint32)
 _B = (constants(SAMPLES, 43) >> U64(32)).astype(np.uint32)
@@ -54,12 +56,17 @@ def minhash(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def bands(samples: np.ndarray) -> np.ndarray:
-    """A 64-bit bucket name for each band of ROWS samples."""
-    by = constants(ROWS, 47)
+def band_rows(similarity: float) -> int:
+    """The most samples a band that lose a pair at the threshold with a probability below MISS."""
+    return max([r for r in range(1, 11) if SAMPLES % r == 0 and (1 - similarity**r) ** (SAMPLES // r) < MISS], default=1)
+
+
+def bands(samples: np.ndarray, rows: int) -> np.ndarray:
+    """A 64-bit bucket name for each band of so many samples."""
+    by = constants(rows, 47)
     with np.errstate(over="ignore"):
-        folded = (samples.reshape(BANDS, ROWS).astype(U64) * by).sum(axis=1, dtype=U64)
-        return mix(folded ^ constants(BANDS, 53))
+        folded = (samples.reshape(-1, rows).astype(U64) * by).sum(axis=1, dtype=U64)
+        return mix(folded ^ constants(len(folded), 53))
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
@@ -84,7 +91,7 @@ def most_odd_bits(similarity: float, miss: float = 1e-9) -> int:
     return 2 * k
 
 
-def signatures(documents: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+def signatures(documents: DataFrame, id_col: str, text_col: str, size: int, rows: int) -> DataFrame:
     """(id, n, set_a, set_b, bands, sketch); the last four are null for a document without shingles."""
     kind = dict(documents.dtypes)[id_col]
 
@@ -101,7 +108,7 @@ def signatures(documents: DataFrame, id_col: str, text_col: str, size: int) -> D
                 with np.errstate(over="ignore"):
                     whole_a.append(int(mix(s).sum(dtype=U64).view(np.int64)))
                     whole_b.append(int(mix(s * U64(3) + U64(1)).sum(dtype=U64).view(np.int64)))
-                names.append(bands(samples).view(np.int64))
+                names.append(bands(samples, rows).view(np.int64))
                 sketches.append(odd_sketch(samples).view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.record_batch([b.column("id"), pa.array(n, pa.int64()), pa.array(whole_a, pa.int64()), pa.array(whole_b, pa.int64()), pa.array(names, longs), pa.array(sketches, longs)], ["id", "n", "set_a", "set_b", "bands", "sketch"])
@@ -125,14 +132,7 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, id_col: str, text_col: st
     kind = dict(documents.dtypes)[id_col]
     pairs = cut(pairs)
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch([b.column("id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text").to_pylist(), size)], pa.binary())], ["id", "set"])
-
-    full = cut(texts.mapInArrow(sets, f"id {kind}, set binary"))
+    full = _sets(documents, ids, id_col, text_col, size)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,11 +150,41 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, id_col: str, text_col: st
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
+def _sets(documents: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, set) of the documents with these ids."""
+    kind = dict(documents.dtypes)[id_col]
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = texts.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column("id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text").to_pylist(), size)], pa.binary())], ["id", "set"])
+
+    return cut(texts.mapInArrow(sets, f"id {kind}, set binary"))
+
+
+def common_sizes(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all sets of y, by products of 0/1 matrices in column blocks."""
+    sizes = [len(s) for s in (*x, *y)]
+    _, column = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(x), len(y)))
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [c, c + COLUMNS]))
+        ones = np.zeros((len(sizes), COLUMNS), np.float32)
+        ones[row[part], column[part] - c] = 1
+        out += ones[: len(x)] @ ones[len(x) :].T
+    return out
+
+
 def _across(members: DataFrame, percent: int, kind: str) -> DataFrame:
-    """Pairs of a bucket's members in different components that sizes and sketches let pass.
+    """Edges (a, b) that join what is linked among a bucket's members in different components.
 
-    members: (bucket, id, component, n, sketch).  A bucket of m members is cut into ceil(m / BLOCK) blocks by the ids'
-    hash, and a task compares two blocks.
+    members: (bucket, id, component, n, sketch, set).  A bucket of m members is cut into ceil(m / BLOCK) blocks by the
+    ids' hash, and a task compares two blocks: sketches first, full sets of what they let pass, and at most one edge a
+    member comes out.
     """
     most = most_odd_bits(percent / 100)
     blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -163,20 +193,26 @@ def _across(members: DataFrame, percent: int, kind: str) -> DataFrame:
     dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
-        x, y = pdf[pdf["own"] == low], pdf[pdf["own"] == high]
+        nothing = pd.DataFrame({"a": [], "b": []})
+        x, y = pdf[pdf["own"] == pdf["low"].iloc[0]], pdf[pdf["own"] == pdf["high"].iloc[0]]
+        if not len(x) or not len(y):
+            return nothing
         sx, sy = (np.array(p["sketch"].tolist(), np.int64).view(U64) for p in (x, y))
         nx, ny, cx, cy, ix, iy = (p[c].to_numpy() for c in ("n", "component", "id") for p in (x, y))
-        found = []
-        for i in range(len(x)):
-            odd = np.bitwise_count(sy ^ sx[i]).sum(axis=1)
-            ok = (odd <= most) & (cy != cx[i]) & (100 * np.minimum(ny, nx[i]) >= percent * np.maximum(ny, nx[i]))
-            ok &= (iy > ix[i]) if low == high else (iy != ix[i])
-            at = np.flatnonzero(ok)
-            found.append(np.column_stack([np.minimum(iy[at], ix[i]), np.maximum(iy[at], ix[i])]))
-        return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2), np.int64), columns=["a", "b"])
-
-    return dealt.select("bucket", "low", "high", "own", "id", "component", "n", "sketch").groupBy("bucket", "low", "high").applyInPandas(compare, f"a {kind}, b {kind}")
+        may = np.stack([np.bitwise_count(sy ^ s).sum(axis=1) <= most for s in sx])
+        may &= (cx[:, None] != cy) & (100 * np.minimum(nx[:, None], ny) >= percent * np.maximum(nx[:, None], ny))
+        i, j = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+        if not len(i):
+            return nothing
+        common = common_sizes(*([np.frombuffer(p["set"].iloc[k], U64) for k in at] for p, at in ((x, i), (y, j))))
+        linked = may[np.ix_(i, j)] & (100 * common >= percent * (nx[i][:, None] + ny[j] - common))
+        a, b = np.nonzero(linked)
+        ids, at = np.unique(np.concatenate([cx[i][a], cy[j][b]]), return_inverse=True)
+        root = roots(len(ids), at[: len(a)], at[len(a) :])
+        return pd.DataFrame({"a": ids, "b": ids[root]})
+
+    dealt = dealt.select("bucket", "low", "high", "own", "id", "component", "n", "sketch", "set")
+    return dealt.groupBy("bucket", "low", "high").applyInPandas(compare, f"a {kind}, b {kind}").where("a <> b")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -187,16 +223,21 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     and texts of white space link with nothing.  Ids must be integers, unique and not null.
     """
     kind = dict(documents.dtypes)[id_col]
-    signed = cut(signatures(documents, id_col, text_col, size))
+    bounded_batches(documents)
+    signed = cut(signatures(documents, id_col, text_col, size, band_rows(percent / 100)))
     sets = signed.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("id").alias("first"))
     sets = cut(sets)
     chosen = cut(signed.join(sets.select(F.col("first").alias("id")), "id", "left_semi").select("id", "n", "bands", "sketch"))
     rows = chosen.select("id", F.posexplode("bands").alias("band", "name")).select("id", F.xxhash64("band", "name").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1")
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     rows = cut(rows.join(buckets, "bucket"))
+    # the member with the most company leads: the text that copies were made from is near more of them than they are
+    company = rows.groupBy("id").agg(F.sum("members").alias("company"))
+    leaders = rows.join(company, "id").groupBy("bucket").agg(F.max_by("id", F.struct("company", -F.col("id"))).alias("leader"))
+    rows = cut(rows.join(leaders, "bucket"))
     about = chosen.select("id", "n", "sketch")
 
-    pairs = rows.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = rows.where("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
     edges = cut(_confirmed(_promising(pairs, about, percent), documents, id_col, text_col, size, percent))
     labels = connected_components(edges)
 
@@ -204,11 +245,15 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     rest = cut(rest.select("bucket", "id", "component", "leader"))
     mixed = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     # the leader has been compared with all the others
-    rest = rest.where("id <> leader").join(mixed.select("bucket"), "bucket", "left_semi").join(about, "id")
-    more = _across(rest, percent, kind).distinct()
-    more = cut(_confirmed(more, documents, id_col, text_col, size, percent))
-    if not more.isEmpty():
-        labels = connected_components(edges.union(more))
+    rest = rest.where("id <> leader").join(mixed.select("bucket"), "bucket", "left_semi")
+    # of buckets with the same members one is enough
+    same = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h1"), F.sum(F.hash("id").cast("long")).alias("h2"))
+    rest = cut(rest.join(same.groupBy("n", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket", "left_semi"))
+    if not rest.isEmpty():
+        full = _sets(documents, cut(rest.select("id").distinct()), id_col, text_col, size)
+        more = cut(_across(rest.join(about, "id").join(full, "id"), percent, kind))
+        if not more.isEmpty():
+            labels = connected_components(edges.union(more))
 
     sets = sets.join(labels.withColumnRenamed("id", "first"), "first", "left")
     sets = sets.select("set_a", "set_b", "n", F.coalesce("component", "first").alias("component"))

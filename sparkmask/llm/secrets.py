@@ -17,7 +17,7 @@ from .common import bounded_batches, chunks
 #: Kinds in the order that breaks ties; those after BASE are what the method adds.
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "github", "npm")
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _HEX_LEAST = 24
 
 #: Lower-case keywords and the kind whose pattern is tried where one begins.

@@ -31,7 +31,7 @@ _LETTER = constants(256, 11)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, kept for the largest buffer so far."""
     if not _POWERS or len(_POWERS[0][0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         with np.errstate(over="ignore"):
             _POWERS[0] = tuple(np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, b, U64)])) for b in (_BASE, _BASE_INVERSE))
     return _POWERS[0]

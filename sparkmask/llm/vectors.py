@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut
-from .components import connected_components
+from .components import connected_components, roots
 
 #: Rows of a tile.
 TILE = 2048
@@ -68,19 +68,6 @@ def linked(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.n
     return i[ok], j[ok]
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index that links reach, for each of n."""
-    root = np.arange(n)
-    while True:
-        low = root.copy()
-        np.minimum.at(low, i, root[j])
-        np.minimum.at(low, j, root[i])
-        low = low[low]
-        if np.array_equal(low, root):
-            return root
-        root = low
-
-
 def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept) of every vector.
 
@@ -161,7 +148,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
         order = np.argsort(ids, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(ids))
-        root = ids[order[_roots(len(ids), rank[i], rank[j])]][rank]
+        root = ids[order[roots(len(ids), rank[i], rank[j])]][rank]
         return pd.DataFrame({"id": ids[at], "links": links[at], "root": root[at]})
 
     found = dealt.select(*cell, "low", "high", "own", "id", "v", "copies").groupBy(*cell, "low", "high").applyInPandas(compare, f"id {kind}, links long, root {kind}")
