@@ -39,8 +39,12 @@ class Lexicon:
 
     def __init__(self, texts: list[str | None]):
         w = Words([(t or "").lower() for t in texts], _LETTERS)
-        self.first = w.first
-        _, at, index = np.unique(w.hash, return_index=True, return_inverse=True)
+        again = np.zeros(len(w.hash) + 1, bool)
+        again[1:-1] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
+        twice = np.flatnonzero(~(again[:-1] & np.concatenate([[False], again[:-2]])))  # a run of one word counts as two
+        self.first = np.searchsorted(twice, w.first)
+        _, at, index = np.unique(w.hash[twice], return_index=True, return_inverse=True)
+        at = twice[at]
         self.index = index.astype(np.int32)
         self.word = (w.hash[at] >> U64(48)).astype(np.uint16)
         start, end = w.start[at], w.end[at]
