@@ -20,7 +20,8 @@ BROADCAST_IDS = 1_000_000
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs but for those whose doc_id is in ids; a null id is in none."""
-    return docs.join(broadcast_if_small(cut(ids), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    ids = broadcast_if_small(cut(ids.toDF("_dropped")), BROADCAST_IDS)
+    return docs.join(ids, docs["doc_id"] == ids["_dropped"], "left_anti")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +44,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text; n_chars counts what is left."""
-    out = secrets.secrets(docs, redact="[secret]").drop("found")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = secrets.secrets(docs, redact="[secret]", found_col="_secrets").drop("_secrets")
+    return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

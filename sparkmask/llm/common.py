@@ -36,6 +36,11 @@ def bounded_batches(df: DataFrame, rows: int = 512, size: str = "16m") -> SparkS
     return spark
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Columns called c0, c1 and so on, as functions over Arrow batches take no names with dots."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def stable_bucket(col, buckets: int):
     """The remainder of crc32 of a key's text."""
     return F.crc32(col.cast("string").cast("binary")) % buckets

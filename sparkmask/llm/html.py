@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, numbered
 from .labelled_pages import PAGES
 
 _TOKEN = re.compile(
@@ -165,5 +165,6 @@ def article_text(pages: DataFrame, html_col: str = "html", labelled: list[str] |
             text = pa.array([extract(p, weights) for p in b.column(len(names)).to_pylist()], pa.string())
             yield pa.record_batch([*b.columns[:-1], text], b.schema.names)
 
-    out = given.mapInArrow(run, given.schema)
+    given = numbered(given)
+    out = given.mapInArrow(run, given.schema).toDF(*names, "text")
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks
+from .common import bounded_batches, chunks, numbered
 
 #: Kinds in the order that breaks ties; those after BASE are what the method adds.
 BASE = ("assign", "access", "hex")
@@ -92,31 +92,31 @@ def find(texts: list[str | None], automaton, patterns: dict[str, re.Pattern]) ->
     return out
 
 
-def secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact: str | None = None) -> DataFrame:
-    """All columns of `documents`, and `found`: an array of (kind, start, end) by start and kind; end is exclusive.
+def secrets(documents: DataFrame, text_col: str = "text", redact: str | None = None, found_col: str = "found") -> DataFrame:
+    """All columns of `documents`, and `found_col`: an array of (kind, start, end) by start and kind; end is exclusive.
 
     With `redact` the text's secrets, overlapping ones as one, are replaced by it.  Null and empty texts have none, and
-    a null text stays null.  Every row is a row of the result; a column of the name `found` is replaced.
+    a null text stays null.  Every row is a row of the result; a column that is called like found_col is replaced.
     """
     bounded_batches(documents)
-    name = "found"
-    fields = [f for f in documents.schema.fields if f.name != name]
-    schema = documents.select(*[F.col(f"`{f.name}`") for f in fields]).withColumn(name, F.lit(None).cast("array<struct<kind:string,start:int,end:int>>")).schema
+    names = [c for c in documents.columns if c != found_col]
+    given = numbered(documents.select(*[F.col(f"`{c}`") for c in names]))
+    schema = given.withColumn("found", F.lit(None).cast("array<struct<kind:string,start:int,end:int>>")).schema
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    at = names.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, patterns = machine(), {k: re.compile(p) for k, p in PATTERNS.items()}
         for b in batches:
-            at = b.schema.get_field_index(text_col)
             texts = b.column(at).to_pylist()
             found = find(texts, automaton, patterns)
             columns = list(b.columns)
             if redact is not None:
                 columns[at] = pa.array([_without(t, f, redact) if f else t for t, f in zip(texts, found, strict=True)], pa.string())
             spans = pa.array([[{"kind": k, "start": s, "end": e} for s, e, k in f] for f in found], kind)
-            yield pa.record_batch([*columns, spans], [*b.schema.names, name])
+            yield pa.record_batch([*columns, spans], [*b.schema.names, "found"])
 
-    return documents.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(scan, schema)
+    return given.mapInArrow(scan, schema).toDF(*names, found_col)
 
 
 def _without(text: str, found: list[tuple[int, int, str]], mark: str) -> str:

@@ -286,7 +286,7 @@ def test_quality_on_texts_it_has_not_seen():
     assert accuracy(s, 0.7, [r[1] for r in held]) > 0.95
     odd = quality.score(model, ODD)
     assert np.all((odd >= 0) & (odd <= 1)) and odd[8] == odd[9]
-    assert np.allclose(quality.score(quality.train(np.zeros((0, 54)), np.zeros(0), 0.7), ["a"]), 0.7)
+    assert np.allclose(quality.score(quality.train(np.zeros((0, quality._WIDTH)), np.zeros(0), 0.7), ["a"]), 0.7)
 
 
 def test_toxicity_on_texts_it_has_not_seen():
