@@ -243,7 +243,8 @@ _TYPOS, _KNOWN = _values([(i, t) for i, t in enumerate(TYPOS)], ["id", "given"],
 FROM {_TYPOS}, {_KNOWN}) WHERE nth = 1 AND distance BETWEEN 1 AND 2""",
 )
 def typo_suggest(spark, d):
-    pairs = _relation(spark, _TYPOS).crossJoin(F.broadcast(_relation(spark, _KNOWN)))  # two fixed lists
+    known = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(k).alias("known")) for i, k in enumerate(KNOWN)])
+    pairs = _relation(spark, _TYPOS).select("*", F.inline(known))
     pairs = pairs.withColumn("distance", F.levenshtein(F.lower("given"), F.lower("known")).cast("long"))
     w = Window.partitionBy("id").orderBy("distance", "pos")
     return pairs.withColumn("nth", F.row_number().over(w)).where("nth = 1 AND distance BETWEEN 1 AND 2").select("id", "given", "known", "distance")
