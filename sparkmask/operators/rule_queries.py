@@ -261,3 +261,100 @@ query("qualified_names", f"SELECT DISTINCT tbl, split_part(tbl, '.', 1) AS schem
 )
 query("all_names", f"SELECT lower(tbl) AS tbl FROM {_FACTS} UNION SELECT lower(tbl) FROM {_RULES}")(lambda spark, d: _facts(spark).select(F.lower("tbl").alias("tbl")).union(_relation(spark, _RULES).select(F.lower("tbl"))).distinct())
 query("rules_without_table", f"SELECT DISTINCT lower(tbl) AS tbl FROM {_RULES} EXCEPT SELECT lower(tbl) FROM {_FACTS}")(lambda spark, d: _relation(spark, _RULES).select(F.lower("tbl").alias("tbl")).distinct().exceptAll(_facts(spark).select(F.lower("tbl").alias("tbl")).distinct()))
+
+# Safety, keys, dates and values
+
+SERVERS = ["localhost", "LOCALHOST", ".", "(local)", "127.0.0.1", " localhost ", "prod-sql-01", "10.0.0.5", "localhost.evil.example", "notlocalhost", "localhost2", "", "localhost\\X", ".\\X", "10.0.0.5\\SQL2022", "prod-sql-01\\localhost", None]
+TYPED = [("db", "db"), (" db ", "db"), ("DB", "db"), ("", ""), ("db2", "db"), (None, "db")]
+DATES = ["2026-08-03", "2026-08-03 10:11:12", "1970-01-01 00:00:00", "someday", "", "2026-13-01", None]
+WRITTEN = ["42", "-1", "255", "99999", "1.5", "12.34", "true", "last Tuesday", "1970-01-01", "", None]
+GUIDS = [("6F9619FF-8B86-D011-B42D-00C04FC964FF", 7), ("00000000-0000-0000-0000-000000000000", 1)]
+
+_SERVERS = _values([(i, s) for i, s in enumerate(SERVERS)], ["id", "server"], "s")
+_TYPED = _values([(i, *t) for i, t in enumerate(TYPED)], ["id", "typed", "name"], "t")
+_DATES = _values([(i, s) for i, s in enumerate(DATES)], ["id", "value"], "d")
+_WRITTEN = _values([(i, s) for i, s in enumerate(WRITTEN)], ["id", "value"], "w")
+_GUIDS = _values(GUIDS, ["guid", "part"], "g")
+
+
+def _spark(sql: str) -> str:
+    """Spark reads a backslash in a string as an escape, DuckDB doesn't."""
+    return sql.replace("\\", "\\\\")
+
+
+@query(
+    "server_allowlist",
+    f"SELECT id, coalesce(lower(trim(server)) IN ('localhost', '.', '(local)', '127.0.0.1'), false) AS allowed, coalesce(lower(split_part(trim(server), '\\', 1)) IN ('localhost', '.', '127.0.0.1'), false) AS unattended FROM {_SERVERS}",
+)
+def server_allowlist(spark, d):
+    from sparkmask.plans.rules import ALLOWED_SERVERS
+    from sparkmask.plans.safety import UNATTENDED
+
+    name = F.lower(F.trim("server"))
+    host = F.substring_index(name, "\\", 1)
+    return _relation(spark, _spark(_SERVERS)).select("id", F.coalesce(name.isin(*ALLOWED_SERVERS), F.lit(False)).alias("allowed"), F.coalesce(host.isin(*UNATTENDED), F.lit(False)).alias("unattended"))
+
+
+query("typed_confirmation", f"SELECT id, coalesce(trim(typed) = trim(name) AND trim(typed) <> '', false) AS confirmed FROM {_TYPED}")(
+    lambda spark, d: _relation(spark, _TYPED).select("id", F.coalesce((F.trim("typed") == F.trim("name")) & (F.trim("typed") != ""), F.lit(False)).alias("confirmed"))
+)
+query("stamp_dates", f"SELECT id, strftime(try_cast(value AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS stamped_at FROM {_DATES}")(
+    lambda spark, d: _relation(spark, _DATES).select("id", F.date_format(F.try_to_timestamp("value"), "yyyy-MM-dd HH:mm:ss").alias("stamped_at"))
+)
+
+
+@query(
+    "static_values",
+    f"""SELECT id, CASE WHEN regexp_matches(value, '^-?[0-9]+$') THEN CAST(try_cast(value AS SMALLINT) AS VARCHAR) END AS small,
+  CASE WHEN regexp_matches(value, '^[0-9]+$') AND try_cast(value AS BIGINT) <= 255 THEN CAST(try_cast(value AS SMALLINT) AS VARCHAR) END AS tiny,
+  CASE WHEN regexp_matches(value, '^-?[0-9]+(\\.[0-9]+)?$') THEN try_cast(value AS DOUBLE) END AS number, CASE WHEN value IN ('true', 'false', '1', '0') THEN value IN ('true', '1') END AS flag,
+  CASE WHEN regexp_matches(value, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN CAST(try_cast(value AS DATE) AS VARCHAR) END AS day, length(value) <= 5 AS fits FROM {_WRITTEN}""",
+)
+def static_values(spark, d):
+    v = F.col("value")
+    return _relation(spark, _WRITTEN).select(
+        "id",
+        F.when(v.rlike(r"^-?[0-9]+\z"), v.try_cast("smallint").cast("string")).alias("small"),
+        F.when(v.rlike(r"^[0-9]+\z") & (v.try_cast("bigint") <= 255), v.try_cast("smallint").cast("string")).alias("tiny"),
+        F.when(v.rlike(r"^-?[0-9]+(\.[0-9]+)?\z"), v.try_cast("double")).alias("number"),
+        F.when(v.isin("true", "false", "1", "0"), v.isin("true", "1")).alias("flag"),
+        F.when(v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), v.try_cast("date").cast("string")).alias("day"),
+        (F.length(v) <= 5).alias("fits"),
+    )
+
+
+@query("guid_keys", f"SELECT guid, replace(guid, '-', '') || '-' || CAST(part AS VARCHAR) AS key, 'fakeemail' || replace(guid, '-', '') || '-' || CAST(part AS VARCHAR) || '@notreal.invalid' AS email FROM {_GUIDS}")
+def guid_keys(spark, d):
+    from sparkmask.functions import masking
+
+    key = masking.discriminator([F.col("guid"), F.col("part")], [True, False])
+    return _relation(spark, _GUIDS).select("guid", key.alias("key"), masking.generated_email(key).alias("email"))
+
+
+@query(
+    "excused_by_join",
+    "SELECT c_custkey, c_name FROM customer WHERE c_name NOT IN (SELECT c_name FROM customer WHERE c_custkey % 3 = 0)",
+)
+def excused_by_join(spark, d):
+    """Values that no long list of constants excuses: the anti join that replaces a list where it is large."""
+    df = spark.read.parquet(f"{d}/customer.parquet")
+    return df.join(df.where("c_custkey % 3 = 0").select("c_name"), "c_name", "left_anti").select("c_custkey", "c_name")
+
+
+query("system_schemas", f"SELECT DISTINCT tbl FROM (SELECT tbl FROM {_FACTS} UNION ALL VALUES ('sys.tables'), ('CDC.change_tables'), ('INFORMATION_SCHEMA.COLUMNS'), ('dbo.__SanitizationLog')) WHERE lower(split_part(tbl, '.', 1)) NOT IN ('sys', 'cdc', 'information_schema') AND lower(tbl) <> 'dbo.__sanitizationlog'")(
+    lambda spark, d: (
+        _facts(spark).select("tbl").union(_relation(spark, "VALUES ('sys.tables'), ('CDC.change_tables'), ('INFORMATION_SCHEMA.COLUMNS'), ('dbo.__SanitizationLog') AS x(tbl)"))
+        .where(~F.lower(F.split_part("tbl", F.lit("."), F.lit(1))).isin("sys", "cdc", "information_schema") & (F.lower("tbl") != "dbo.__sanitizationlog")).distinct()
+    )
+)
+query(
+    "usable_keys",
+    f"SELECT tbl, bool_and(kind IN ('tinyint', 'smallint', 'int', 'bigint')) AS spliceable, CAST(sum(CASE kind WHEN 'tinyint' THEN 3 WHEN 'smallint' THEN 6 WHEN 'int' THEN 11 WHEN 'bigint' THEN 20 ELSE 32 END) + count(*) - 1 AS BIGINT) AS width FROM {_FACTS} WHERE in_key GROUP BY tbl",
+)(
+    lambda spark, d: (
+        _facts(spark).where("in_key").groupBy("tbl").agg(
+            F.bool_and(F.col("kind").isin("tinyint", "smallint", "int", "bigint")).alias("spliceable"),
+            (F.sum(F.expr("CASE kind WHEN 'tinyint' THEN 3 WHEN 'smallint' THEN 6 WHEN 'int' THEN 11 WHEN 'bigint' THEN 20 ELSE 32 END")) + F.count("*") - 1).alias("width"),
+        )
+    )
+)
