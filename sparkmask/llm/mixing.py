@@ -4,10 +4,12 @@ Tokens are summed over the cells of source x language x topic.  Raking scales th
 margin meet its target shares; a document's probability follows from its cell's weight, and a hash of its id decides.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import broadcast_if_small, cut
 
 #: Words that mark a topic, tried in order; a text with none of them has the last topic.
 TOPICS = {
@@ -16,15 +18,21 @@ TOPICS = {
     "code": r"[=;{}]|[|#&$%*]\s",
     "prose": None,
 }
+#: Substrings without any of which a topic's pattern can't match; looking for them is cheaper.
+NEEDED = {"contact": ("@", "+")}
 ROUNDS = 12
 #: Share of all tokens that the sample aims at.
 BUDGET = 0.5
 MARGINS = ("source", "lang", "topic")
+#: Cells whose rates are broadcast at most.
+BROADCAST_CELLS = 200_000
 
 
 def token_count(text: Column) -> Column:
     """Runs of characters other than ASCII white space; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
+    # every run but the space before the first one becomes one character
+    marks = F.regexp_replace(text, r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "x")
+    return F.coalesce(F.length(F.ltrim(marks, F.lit(" \t\n\v\f\r"))), F.lit(0)).cast("long")
 
 
 def topic(text: Column) -> Column:
@@ -32,7 +40,10 @@ def topic(text: Column) -> Column:
     out = None
     for name, pattern in TOPICS.items():
         if pattern is not None:
-            test = F.coalesce(text.rlike(pattern), F.lit(False))
+            test = text.rlike(pattern)
+            if name in NEEDED:
+                test = reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in NEEDED[name]]) & test
+            test = F.coalesce(test, F.lit(False))
             out = F.when(test, name) if out is None else out.when(test, name)
     return out.otherwise(list(TOPICS)[-1])
 
@@ -41,7 +52,8 @@ def flattened(cells: DataFrame, margin: str, power: float) -> DataFrame:
     """(key, target): shares of a margin in proportion to a power of its tokens; 0 evens out, 1 keeps what is."""
     sums = cells.groupBy(F.col(margin).alias("key")).agg(F.sum("tokens").alias("t")).where("t > 0")
     sums = sums.withColumn("t", F.pow("t", F.lit(power)))
-    return sums.crossJoin(F.broadcast(sums.agg(F.sum("t").alias("all")))).select("key", (F.col("t") / F.col("all")).alias("target"))
+    whole = sums.agg(F.sum("t")).first()[0]
+    return sums.select("key", (F.col("t") / F.lit(whole)).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
@@ -78,8 +90,11 @@ def mix(documents: DataFrame, powers: dict[str, float], budget: float = BUDGET,
     given = documents.withColumns({"topic": topic(F.col(text_col)), "n_tokens": token_count(F.col(text_col))})
     cells = cut(given.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
     raked = rake(cells, {m: cut(flattened(cells, m, p)) for m, p in powers.items()}, rounds)
-    wanted = F.round(F.least(F.lit(1.0), F.col("weight") * F.lit(budget) * F.col("all") / F.col("tokens")), 9)
-    rates = raked.crossJoin(F.broadcast(cells.agg(F.sum("tokens").alias("all")))).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], wanted.alias("_rate"))
+    whole = cells.agg(F.sum("tokens")).first()[0] or 0
+    wanted = F.round(F.least(F.lit(1.0), F.col("weight") * F.lit(budget) * F.lit(whole) / F.col("tokens")), 9)
+    rates = raked.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], wanted.alias("_rate"))
+    # documents stay where they are unless cells are very many; then Spark splits the join's large keys
+    rates = broadcast_if_small(cut(rates), BROADCAST_CELLS)
     same = None
     for m in MARGINS:
         test = F.col(f"_{m}").eqNullSafe(F.col(m))
