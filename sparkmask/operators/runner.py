@@ -1,7 +1,7 @@
 """A run: mask into a staging folder, reconcile, sweep, publish, stamp.
 
 Files can't be updated in place, so nothing of the source changes until every gate has passed.  A failed gate leaves the
-source as it was and no stamp.
+source as it was and no stamp; so does a table that can't be published, as tables published before it are put back.
 """
 
 from __future__ import annotations
@@ -130,10 +130,7 @@ def run(dataset: Dataset, plan: RunPlan, config_hash: str, clock: Callable[[], d
         step("verify")
         outcome.verify = verify(tables, plan.mask.replacements)
         if outcome.verify.passed:
-            for name in [n for n in tables if n.lower() in changed]:
-                step(f"publish: {name}")
-                dataset.folder.delete(dataset.files[name])
-                staging.move(dataset.files[name], dataset.folder, dataset.files[name])
+            publish(dataset, staging, [n for n in tables if n.lower() in changed], step)
             step("stamp")
             emptied_tables = {s.table.lower() for s in plan.before if s.kind is StepKind.EMPTY_TABLE}
             rows = sum(r.rows_after for r in outcome.results)
@@ -148,6 +145,24 @@ def run(dataset: Dataset, plan: RunPlan, config_hash: str, clock: Callable[[], d
     return outcome
 
 
+def publish(dataset: Dataset, staging: Folder, names: list[str], step: Callable[[str], None]) -> None:
+    """Swaps tables for their masked versions; if one can't be swapped, those before it are swapped back."""
+    done = []
+    try:
+        for name in names:
+            step(f"publish: {name}")
+            file = dataset.files[name]
+            dataset.folder.move(file, staging, f"_old-{file}")
+            done.append(file)
+            staging.move(file, dataset.folder, file)
+    except Exception:
+        for file in reversed(done):
+            if dataset.folder.exists(file):
+                dataset.folder.move(file, staging, f"_new-{file}")
+            staging.move(f"_old-{file}", dataset.folder, file)
+        raise
+
+
 def _reconciled(mask: TableMask, before: DataFrame, tables: dict[str, DataFrame]) -> MaskResult:
     name = next(n for n in tables if n.lower() == mask.table.name.lower())
     keys = [k.name for k in mask.table.key_columns]

@@ -9,7 +9,7 @@ from sparkmask import cli
 from sparkmask.operators import keyset, runner, stamp, sweep
 from sparkmask.plans import run_plan
 from sparkmask.plans.rules import load
-from sparkmask.sources.dataset import Dataset
+from sparkmask.sources.dataset import Dataset, Folder
 from sparkmask.streaming import stream
 from tests.conftest import rows
 
@@ -99,6 +99,23 @@ def test_a_leak_blocks_publishing_and_the_stamp(spark, dataset):
     assert outcome.steps[-1].startswith("keep history again")
 
 
+def test_a_broken_publish_puts_everything_back(spark, dataset, monkeypatch):
+    move = Folder.move
+    moved = []
+
+    def breaks(self, name, to, as_name):
+        moved.append(as_name)
+        if to.root == dataset.folder.root and len(moved) == 4:
+            raise OSError("the store is away")
+        move(self, name, to, as_name)
+
+    monkeypatch.setattr(Folder, "move", breaks)
+    outcome = run(dataset, config())
+    assert not outcome.succeeded and "store is away" in outcome.error and not stamp.read(dataset.folder).sanitized
+    assert dataset.table("dbo.LoginAudit").count() == 1 and dataset.table("dbo.Person").where("FirstName = 'Ada'").count() == 1
+    assert dataset.table("app.Membership").where("Email like '%example%'").count() == 3
+
+
 def test_commands(spark, dataset, tmp_path):
     path = tmp_path / "rules.json"
 
