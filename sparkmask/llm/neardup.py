@@ -212,6 +212,7 @@ def _across(members: DataFrame, percent: int, kind: str) -> DataFrame:
         return pd.DataFrame({"a": ids, "b": ids[root]})
 
     dealt = dealt.select("bucket", "low", "high", "own", "id", "component", "n", "sketch", "set")
+    dealt = dealt.repartition("bucket", "low", "high")  # else all blocks of a bucket would stay in one task
     return dealt.groupBy("bucket", "low", "high").applyInPandas(compare, f"a {kind}, b {kind}").where("a <> b")
 
 
