@@ -151,7 +151,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
         root = ids[order[roots(len(ids), rank[i], rank[j])]][rank]
         return pd.DataFrame({"id": ids[at], "links": links[at], "root": root[at]})
 
-    found = dealt.select(*cell, "low", "high", "own", "id", "v", "copies").groupBy(*cell, "low", "high").applyInPandas(compare, f"id {kind}, links long, root {kind}")
+    dealt = dealt.select(*cell, "low", "high", "own", "id", "v", "copies").repartition(*cell, "low", "high")  # else a cell would stay in one task
+    found = dealt.groupBy(*cell, "low", "high").applyInPandas(compare, f"id {kind}, links long, root {kind}")
     found = cut(found)
     labels = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
