@@ -358,3 +358,19 @@ query(
         )
     )
 )
+
+INDEXES = [
+    ("app.Membership", "UQ_Username", 1, "Username"), ("app.Membership", "IX_Email", 2, "Email"), ("app.Membership", "IX_Email", 1, "OrganizationId"), ("dbo.Person", "UQ_Ssn", 1, "Ssn"),
+]
+_INDEXES = _values(INDEXES, ["tbl", "idx", "ord", "col"], "i")
+
+
+@query(
+    "unique_rules_grouped",
+    f"SELECT tbl, count(*) AS n, string_agg(idx || '(' || cols || ')', '; ' ORDER BY idx) AS rules FROM (SELECT tbl, idx, string_agg(col, ',' ORDER BY ord) AS cols FROM {_INDEXES} GROUP BY tbl, idx) GROUP BY tbl",
+)
+def unique_rules_grouped(spark, d):
+    cols = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "col"))), lambda x: x["col"]), ",")
+    each = _relation(spark, _INDEXES).groupBy("tbl", "idx").agg(cols.alias("cols"))
+    rules = F.array_join(F.array_sort(F.collect_list(F.concat("idx", F.lit("("), "cols", F.lit(")")))), "; ")
+    return each.groupBy("tbl").agg(F.count("*").alias("n"), rules.alias("rules"))

@@ -109,3 +109,11 @@ def test_hints_on_both_sides(spark):
 def test_words_of_names(spark, name, words):
     assert names.words_of(name) == words
     assert ask(spark, [name], names.tokens) == [words]
+
+
+def test_random_names_give_the_same_words_on_both_sides(spark):
+    import random
+
+    rnd = random.Random(17)
+    given = ["".join(rnd.choice("aAbBéÉß9_- .XyZıǅ٣") for _ in range(rnd.randrange(0, 12))) for _ in range(800)]
+    assert ask(spark, given, names.tokens) == [names.words_of(n) for n in given]
