@@ -18,7 +18,7 @@ from .textops import ALNUM, U64, Words, constants, mix
 SHINGLE = 3
 CHUNK = 1 << 18
 #: Characters of benchmark text that one pass over the documents carries to the tasks.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 
 
 class Windows:
@@ -150,6 +150,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 10, i
         any_block = True
         windows = Windows(block, width)
         prefixes = windows.prefixes(_frequencies(documents, text_col, windows))
+        windows.owner = windows.offset = windows.token = None  # tasks need them no more
         given = given.mapInArrow(_finder(windows, prefixes), schema)
     if not any_block:
         windows = Windows([], width)

@@ -113,7 +113,7 @@ def plain_windows(texts, items, width=10):
     return out
 
 
-@pytest.mark.parametrize("block", [8_000_000, 40])
+@pytest.mark.parametrize("block", [2_000_000, 40])
 def test_contamination_equals_the_plain_search(spark, tmp_path, monkeypatch, block):
     monkeypatch.setattr(decontam, "BLOCK_CHARS", block)
     rnd = random.Random(5)
