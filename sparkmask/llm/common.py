@@ -36,6 +36,15 @@ def bounded_batches(df: DataFrame, rows: int = 512, size: str = "16m") -> SparkS
     return spark
 
 
+def dealt_anew(df: DataFrame) -> DataFrame:
+    """The same rows without the order of an aggregate or join before.
+
+    A join with an aggregate on its own key would take the aggregate's partitions as they are, and Spark can't split a
+    large key then.  After this both sides are shuffled for the join, and it can.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """Columns called c0, c1 and so on, as functions over Arrow batches take no names with dots."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, dealt_anew
 
 
 def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.select("a", "b").where("a <> b")
     edges = cut(edges.union(edges.select("b", "a")).distinct())
     labels = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least"))
-    labels = cut(labels.select("id", F.least("id", "least").alias("component")))
+    labels = cut(dealt_anew(labels.select("id", F.least("id", "least").alias("component"))))
     while True:
         near = (
             edges.join(labels.withColumnRenamed("id", "b"), "b")
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         hooked = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         jump = hooked.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        hooked = cut(hooked.join(jump, "component", "left").select("id", "was", F.least("component", "further").alias("component")))
+        hooked = hooked.join(dealt_anew(jump), "component", "left").select("id", "was", F.least("component", "further").alias("component"))
+        hooked = cut(dealt_anew(hooked))
         labels = hooked.select("id", "component")
         if hooked.where("was <> component").isEmpty():
             return labels

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, broadcast_if_small, chunks, cut
+from .common import bounded_batches, broadcast_if_small, chunks, cut, dealt_anew
 from .components import connected_components, roots
 from .textops import U64, Words, constants, mix
 
@@ -188,7 +188,7 @@ def _across(members: DataFrame, percent: int, kind: str) -> DataFrame:
     """
     most = most_odd_bits(percent / 100)
     blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    dealt = members.join(dealt_anew(blocks), "bucket").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
 
@@ -231,11 +231,11 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     chosen = cut(signed.join(sets.select(F.col("first").alias("id")), "id", "left_semi").select("id", "n", "bands", "sketch"))
     rows = chosen.select("id", F.posexplode("bands").alias("band", "name")).select("id", F.xxhash64("band", "name").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    rows = cut(rows.join(buckets, "bucket"))
+    rows = cut(rows.join(dealt_anew(buckets), "bucket"))
     # the member with the most company leads: the text that copies were made from is near more of them than they are
     company = rows.groupBy("id").agg(F.sum("members").alias("company"))
     leaders = rows.join(company, "id").groupBy("bucket").agg(F.max_by("id", F.struct("company", -F.col("id"))).alias("leader"))
-    rows = cut(rows.join(leaders, "bucket"))
+    rows = cut(rows.join(dealt_anew(leaders), "bucket"))
     about = chosen.select("id", "n", "sketch")
 
     pairs = rows.where("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
@@ -246,10 +246,10 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     rest = cut(rest.select("bucket", "id", "component", "leader"))
     mixed = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     # the leader has been compared with all the others
-    rest = rest.where("id <> leader").join(mixed.select("bucket"), "bucket", "left_semi")
+    rest = rest.where("id <> leader").join(dealt_anew(mixed.select("bucket")), "bucket", "left_semi")
     # of buckets with the same members one is enough
     same = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h1"), F.sum(F.hash("id").cast("long")).alias("h2"))
-    rest = cut(rest.join(same.groupBy("n", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket", "left_semi"))
+    rest = cut(rest.join(dealt_anew(same.groupBy("n", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket")), "bucket", "left_semi"))
     if not rest.isEmpty():
         full = _sets(documents, cut(rest.select("id").distinct()), id_col, text_col, size)
         more = cut(_across(rest.join(about, "id").join(full, "id"), percent, kind))
@@ -257,7 +257,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
             labels = connected_components(edges.union(more))
 
     sets = sets.join(labels.withColumnRenamed("id", "first"), "first", "left")
-    sets = sets.select("set_a", "set_b", "n", F.coalesce("component", "first").alias("component"))
+    sets = dealt_anew(sets.select("set_a", "set_b", "n", F.coalesce("component", "first").alias("component")))
     out = signed.select("id", "n", "set_a", "set_b").join(sets, ["set_a", "set_b", "n"], "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.col("id") == F.col("component_id")).withColumnRenamed("id", id_col)
