@@ -77,11 +77,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     """
     bounded_batches(vectors, rows=4096)
     kind, label = dict(vectors.dtypes)[id_col], dict(vectors.dtypes)[label_col]
-    given = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    number = "float" if dict(vectors.dtypes)[vector_col] == "array<float>" else "double"  # computed in double precision either way
+    given = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast(f"array<{number}>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("label").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0)
     good = cut(given.where(F.coalesce(usable, F.lit(False))).withColumn("dim", F.size("v")))
-    key = F.transform("v", lambda x: x + F.lit(0.0))  # -0.0 equals 0.0
+    key = F.transform("v", lambda x: x + F.lit(0.0).cast(number))  # -0.0 equals 0.0
     classes = cut(good.groupBy("label", "dim", key.alias("v")).agg(F.min("id").alias("id"), F.count("*").alias("copies")))
 
     groups = classes.groupBy("label", "dim").count().where(F.col("count") > TILE).orderBy(F.desc("count"), "label", "dim").limit(PIVOT_LABELS)
@@ -117,7 +118,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
             part = pa.record_batch([b.column("id"), b.column("label"), b.column("dim"), b.column("v"), b.column("copies")], ["id", "label", "dim", "v", "copies"]).take(rows)
             yield pa.record_batch([*part.columns, pa.array([c for _, c, _ in out], pa.int32()), pa.array([h for _, _, h in out], pa.bool_())], [*part.schema.names, "cell", "home"])
 
-    schema = f"id {kind}, label {label}, dim int, v array<double>, copies long, cell int, home boolean"
+    schema = f"id {kind}, label {label}, dim int, v array<{number}>, copies long, cell int, home boolean"
     placed = cut(classes.select("id", "label", "dim", "v", "copies").mapInArrow(place, schema))
     cell = ["label", "dim", "cell"]
     sizes = placed.groupBy(*cell).agg(F.ceil(F.count_if("home") / TILE).cast("int").alias("tiles"), F.ceil(F.count_if(~F.col("home")) / TILE).cast("int").alias("guests"))
