@@ -244,12 +244,17 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     rest = rows.where("members > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     rest = cut(rest.select("bucket", "id", "component", "leader"))
-    mixed = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    # the leader has been compared with all the others
-    rest = rest.where("id <> leader").join(dealt_anew(mixed.select("bucket")), "bucket", "left_semi")
-    # of buckets with the same members one is enough
-    same = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h1"), F.sum(F.hash("id").cast("long")).alias("h2"))
-    rest = cut(rest.join(dealt_anew(same.groupBy("n", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket")), "bucket", "left_semi"))
+    # the leader has been compared with all the others; of buckets with the same others one is enough
+    other = F.when(F.col("id") != F.col("leader"), F.col("id"))
+    about_bucket = rest.groupBy("bucket").agg(
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+        F.count(other).alias("n"),
+        F.sum(F.when(other.isNotNull(), F.xxhash64("id").cast("decimal(20,0)"))).alias("h1"),
+        F.sum(F.when(other.isNotNull(), F.hash("id").cast("long"))).alias("h2"),
+    )
+    open_ = about_bucket.where("low <> high").groupBy("n", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket")
+    rest = cut(rest.where("id <> leader").join(dealt_anew(open_), "bucket", "left_semi"))
     if not rest.isEmpty():
         full = _sets(documents, cut(rest.select("id").distinct()), id_col, text_col, size)
         more = cut(_across(rest.join(about, "id").join(full, "id"), percent, kind))
