@@ -9,7 +9,7 @@ patterns are.  Candidates next to a confident pattern become spans of the kind `
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, dealt_anew
 
 #: Base kinds in the order that breaks ties.  Possessive forms and the test for the beginning of a run leave the matches
 #: of the plain patterns as they are, but keep the search linear on long runs.
@@ -133,7 +133,7 @@ def confident_patterns(spans: DataFrame, rounds: int = ROUNDS, confident: float
         scored = scored.select("pattern", (F.col("believed") / (F.col("n") + 1)).alias("confidence"), "behind")
         if k + 1 < rounds:
             trusted = F.when(F.col("behind") >= support, F.col("confidence")).otherwise(0.0)
-            rated = edges.join(scored.select("pattern", trusted.alias("confidence")), "pattern")
+            rated = edges.join(dealt_anew(scored.select("pattern", trusted.alias("confidence"))), "pattern")
             beliefs = rated.groupBy("value").agg(F.max("confidence").alias("best"))
             edges = edges.drop("belief").join(beliefs, "value")
             edges = cut(edges.select("pattern", "value", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("best")).alias("belief")))
@@ -151,7 +151,7 @@ def personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     each = cut(each.select("id", "s.*").withColumn("patterns", lexical(F.col("left"), F.col("right"))).drop("left", "right"))
     patterns = confident_patterns(each.select("value", "seed", "patterns"))
     new = each.where("not seed").select("id", "start", "end", F.explode("patterns").alias("pattern"))
-    new = new.join(patterns, "pattern").groupBy("id", "start", "end").agg(F.max("confidence").alias("confidence"))
+    new = new.join(dealt_anew(patterns), "pattern").groupBy("id", "start", "end").agg(F.max("confidence").alias("confidence"))
     new = new.groupBy("id").agg(F.collect_list(F.struct(F.lit(KIND).alias("kind"), "start", "end")).alias("new"))
     order = F.create_map(*[F.lit(x) for i, k in enumerate((*PATTERNS, KIND)) for x in (k, i)])
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
