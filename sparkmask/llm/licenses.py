@@ -1,8 +1,8 @@
 """Licence scans by conditional compression.
 
-Sentences that share words with licence notices form candidate blocks.  A block is compressed alone and with each
-template as a raw zstandard dictionary; templates are ranked by how much smaller it gets, and the best one is confirmed
-by the words that differ.
+Sentences that share words with licence notices form candidate blocks.  In a block, every part as long as a template
+that starts with three words of it is laid beside that template and confirmed by the words that differ.  Confirmed parts
+are compressed alone and with the template as a raw zstandard dictionary, and ranked by the bytes that this saves.
 """
 
 import difflib
@@ -23,6 +23,8 @@ _SENTENCE = re.compile(r"(?:[^\n.!?]|[.!?](?!\s|\Z))+[.!?]*")
 _WORD = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*[A-Za-z0-9]|[A-Za-z0-9]")
 #: Share of a sentence's words that templates know; least size reduction; differing words in a hundred.
 KNOWN, REDUCTION, DIFFERENT = 0.6, 0.2, 15
+#: Shortest run of common words that a part starts and ends with; words that a part cut off at its block's edge has.
+RUN, CUT_OFF = 3, 10
 
 
 def words(text: str) -> list[str]:
@@ -37,7 +39,7 @@ class Scanner:
             for text in texts:
                 given = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 squeeze = zstandard.ZstdCompressor(level=19, dict_data=given, write_content_size=False, write_checksum=False, write_dict_id=False)
-                self.by.append((name, words(text), squeeze))
+                self.by.append((name, Template(words(text)), squeeze))
                 self.known.update(words(text))
 
     def blocks(self, text: str) -> Iterator[tuple[int, int]]:
@@ -61,38 +63,76 @@ class Scanner:
         for start, end in self.blocks(text):
             lead = len(text[start:end]) - len(text[start:end].lstrip())
             start, block = start + lead, text[start:end].strip()
-            raw, own = block.lower().encode("utf-8", "surrogatepass"), words(block)
-            alone = len(self.plain.compress(raw))
-            ranked = sorted(((1 - len(s.compress(raw)) / alone, name, t) for name, t, s in self.by), key=lambda x: (-x[0], x[1], len(x[2])))
-            best = [x for x in ranked if x[0] >= max(REDUCTION, ranked[0][0] - 0.05)]
-            judged = [(differences(own, t), -r, name) for r, name, t in best]
-            if judged:
-                (n, first, last), reduction, name = min(judged)
-                if 100 * n <= DIFFERENT * (last - first):
-                    at = [m.span() for m in _WORD.finditer(block)]
-                    begin = at[first][0] if first else 0
-                    finish = at[last - 1][1] if last < len(at) else len(block)
-                    found.append({"start": start + begin, "end": start + finish, "license": name, "reduction": round(-reduction, 4), "n_words": last - first, "n_different": n})
+            at = [m.span() for m in _WORD.finditer(block)]
+            own = [block[i:j].lower() for i, j in at]
+            best = self.best(block, at, own)
+            if best:
+                _, _, n, first, last, name, reduction = best
+                begin = at[first][0] if first else 0
+                finish = at[last - 1][1] if last < len(at) else len(block)
+                found.append({"start": start + begin, "end": start + finish, "license": name, "reduction": round(reduction, 4), "n_words": last - first, "n_different": n})
         return found
 
-
-def differences(block: list[str], template: list[str]) -> tuple[int, int, int]:
-    """(differing words, first word, one past the last) of the part of a block that a template covers.
-
-    Matches of fewer than three words at either end don't count as covered.  Within, words that the template lacks in
-    order differ, and so do words of the template left out between matched ones; beyond, words differ as far as both go on.
-    """
-    match = difflib.SequenceMatcher(None, block, template, autojunk=False).get_matching_blocks()[:-1]
-    while match and match[0].size < 3:
-        match = match[1:]
-    while match and match[-1].size < 3:
-        match = match[:-1]
-    if not match:
-        return len(block) + len(template), 0, len(block)
-    same, first, last = sum(m.size for m in match), match[0].a, match[-1].a + match[-1].size
-    n = (last - first - same) + (match[-1].b + match[-1].size - match[0].b - same)
-    n += min(first, match[0].b) + min(len(block) - last, len(template) - match[-1].b - match[-1].size)
-    return n, first, last
+    def best(self, block: str, at: list[tuple[int, int]], own: list[str]) -> tuple | None:
+        """Of the confirmed parts of a block the one that saves most bytes; of those nearly as good, the one that differs least."""
+        parts = []
+        whole = len(self.plain.compress(block.lower().encode("utf-8", "surrogatepass")))
+        for name, template, squeeze in self.by:
+            for n, first, last, complete in {template.part(own, i) for i in template.starts(own)} - {None}:
+                raw = block[at[first][0] : at[last - 1][1]].lower().encode("utf-8", "surrogatepass")
+                alone = len(self.plain.compress(raw))
+                saved = alone - len(squeeze.compress(raw))
+                if saved >= REDUCTION * (alone if complete else whole):
+                    parts.append((saved, alone, n, first, last, name, saved / alone))
+        if not parts:
+            return None
+        top = max(parts, key=lambda p: (p[0], -p[2], -p[3]))
+        near = [p for p in parts if p[3] < top[4] and top[3] < p[4] and p[0] >= top[0] - 0.05 * top[1]]
+        return min(near, key=lambda p: (p[2], -p[0], p[3], p[5]))
+
+
+class Template:
+    """The words of a wording, and the parts of a block that differ from it by few words."""
+
+    def __init__(self, own: list[str]):
+        self.words, self.at = own, {}
+        for j in range(len(own) - RUN + 1):
+            self.at.setdefault(tuple(own[j : j + RUN]), []).append(j)
+        self.match = difflib.SequenceMatcher(None, [], own, autojunk=False)
+        #: A longer part has too many words that the template lacks.
+        self.longest = len(own) * 100 // (100 - DIFFERENT)
+
+    def starts(self, block: list[str]) -> list[int]:
+        """Where runs of common words start; a confirmed part starts at one."""
+        return [
+            i
+            for i in range(len(block) - RUN + 1)
+            if any(not (i and j and block[i - 1] == self.words[j - 1]) for j in self.at.get(tuple(block[i : i + RUN]), ()))
+        ]
+
+    def part(self, block: list[str], start: int) -> tuple[int, int, int, bool] | None:
+        """The longest confirmed part in the words from start as (differing words, first, one past the last, complete).
+
+        A part starts and ends with RUN common words.  Within, words that the template lacks in order differ, and so do
+        words of the template left out between matched ones; beyond, words differ as far as block and template both go
+        on.  A part that the block's edge cuts off is complete with CUT_OFF words, or all of a shorter template.
+        """
+        self.match.set_seq1(block[start : start + self.longest])
+        runs = [(start + m.a, m.b, m.size) for m in self.match.get_matching_blocks()[:-1]]
+        best = None
+        for p, (first, b, size) in enumerate(runs):
+            if size < RUN:
+                continue
+            before, same = min(first, b), 0
+            for a, c, size in runs[p:]:
+                same += size
+                last, end = a + size, c + size
+                n = before + (last - first - same) + (end - b - same) + min(len(block) - last, len(self.words) - end)
+                if size >= RUN and 100 * n <= DIFFERENT * (last - first):
+                    left_out = b + len(self.words) - end
+                    complete = 100 * (n + left_out) <= DIFFERENT * (last - first) or same >= min(CUT_OFF, len(self.words))
+                    best = max(best or (), (same - n, (n, first, last, complete)))
+        return best and best[1]
 
 
 def license_blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -192,6 +192,17 @@ def test_changed_wording_is_told(spark):
     assert [(r["license"], r["n_different"], r["exact"]) for r in out] == [("Apache-2.0", 1, False)]
 
 
+NEAR_LICENSES = "You may use this software for any purpose. It is provided without any warranty of any kind. The authors are not liable for any damages. You may copy and distribute the software. The above copyright notice is included. "
+
+
+def test_licenses_beside_sentences_like_them(spark):
+    every = [(name, t) for name, texts in licenses.TEMPLATES.items() for t in texts]
+    texts = [f"{NEAR_LICENSES * 3}{t} {NEAR_LICENSES}" for _, t in every]
+    out = licenses.license_blocks(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["license"], r["n_different"]) for r in out] == [(i, name, 0) for i, (name, _) in enumerate(every)]
+    assert licenses.license_blocks(docs(spark, [NEAR_LICENSES])).collect() == []
+
+
 def test_pages_of_the_training_set():
     weights = html.learn(PAGES)
     for page in PAGES:
