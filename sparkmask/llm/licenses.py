@@ -65,30 +65,65 @@ class Scanner:
             start, block = start + lead, text[start:end].strip()
             at = [m.span() for m in _WORD.finditer(block)]
             own = [block[i:j].lower() for i, j in at]
-            best = self.best(block, at, own)
-            if best:
-                _, _, n, first, last, name, reduction = best
+            for _, _, n, first, last, name, reduction in self.notices(block, at, own):
                 begin = at[first][0] if first else 0
                 finish = at[last - 1][1] if last < len(at) else len(block)
                 found.append({"start": start + begin, "end": start + finish, "license": name, "reduction": round(reduction, 4), "n_words": last - first, "n_different": n})
         return found
 
-    def best(self, block: str, at: list[tuple[int, int]], own: list[str]) -> tuple | None:
-        """Of the confirmed parts of a block the one that saves most bytes; of those nearly as good, the one that differs least."""
-        parts = []
+    def notices(self, block: str, at: list[tuple[int, int]], own: list[str]) -> list[tuple]:
+        """Confirmed parts of a block that don't overlap, in order.
+
+        The part that saves most bytes wins, or of those nearly as good that overlap it the one that differs least.  Its
+        words are cut out, and what is left is judged again until nothing is confirmed.
+        """
+        own, won, judged = list(own), [], {}
         whole = len(self.plain.compress(block.lower().encode("utf-8", "surrogatepass")))
-        for name, template, squeeze in self.by:
-            for n, first, last, complete in {template.part(own, i) for i in template.starts(own)} - {None}:
-                raw = block[at[first][0] : at[last - 1][1]].lower().encode("utf-8", "surrogatepass")
-                alone = len(self.plain.compress(raw))
-                saved = alone - len(squeeze.compress(raw))
-                if saved >= REDUCTION * (alone if complete else whole):
-                    parts.append((saved, alone, n, first, last, name, saved / alone))
-        if not parts:
+        while True:
+            parts = set()
+            for k, (name, template, squeeze) in enumerate(self.by):
+                for i in template.starts(own):
+                    if (k, i) not in judged:
+                        judged[k, i] = self.judged(block, at, template.part(own, i), name, squeeze, whole)
+                    if judged[k, i]:
+                        parts.add(judged[k, i])
+            # parts that overlap none better are independent of one another: all of them win at once
+            cut, left = [], sorted(parts, key=lambda p: (-p[0], p[2], p[3], p[5]))
+            taken = bytearray(len(own))
+            by_word = self.by_word(left, len(own))
+            for top in left:
+                if any(taken[top[3] : top[4]]):
+                    continue
+                rivals = {p for w in range(top[3], top[4]) for p in by_word[w] if p[0] >= top[0] - 0.05 * top[1] and not any(taken[p[3] : p[4]])}
+                best = min(rivals, key=lambda p: (p[2], -p[0], p[3], p[5]))
+                cut.append(best)
+                taken[best[3] : best[4]] = b"\1" * (best[4] - best[3])
+            if not cut:
+                return sorted(won, key=lambda p: p[3])
+            won += cut
+            for _, _, _, first, last, *_ in cut:
+                own[first:last] = [None] * (last - first)
+            # what was judged stays so unless its words were among those cut out
+            judged = {(k, i): p for (k, i), p in judged.items() if not any(taken[i : i + self.by[k][1].longest])}
+
+    @staticmethod
+    def by_word(parts: list[tuple], n: int) -> list[list[tuple]]:
+        """The parts over each of n words."""
+        out = [[] for _ in range(n)]
+        for p in parts:
+            for w in range(p[3], p[4]):
+                out[w].append(p)
+        return out
+
+    def judged(self, block: str, at: list[tuple[int, int]], part: tuple | None, name: str, squeeze, whole: int) -> tuple | None:
+        """(bytes saved, bytes alone, differing words, first word, one past the last, name, reduction) of a part that is small enough."""
+        if part is None:
             return None
-        top = max(parts, key=lambda p: (p[0], -p[2], -p[3]))
-        near = [p for p in parts if p[3] < top[4] and top[3] < p[4] and p[0] >= top[0] - 0.05 * top[1]]
-        return min(near, key=lambda p: (p[2], -p[0], p[3], p[5]))
+        n, first, last, complete = part
+        raw = block[at[first][0] : at[last - 1][1]].lower().encode("utf-8", "surrogatepass")
+        alone = len(self.plain.compress(raw))
+        saved = alone - len(squeeze.compress(raw))
+        return (saved, alone, n, first, last, name, saved / alone) if saved >= REDUCTION * (alone if complete else whole) else None
 
 
 class Template:
@@ -136,7 +171,7 @@ class Template:
 
 
 def license_blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each confirmed block: (id, start, end, license, reduction, n_words, n_different, exact).
+    """A row for each confirmed notice: (id, start, end, license, reduction, n_words, n_different, exact).
 
     Bounds are code points, end exclusive.  Null and empty texts and texts without a notice give no row; every row of
     the input is scanned by itself, so repeated rows give repeated rows.

@@ -203,6 +203,16 @@ def test_licenses_beside_sentences_like_them(spark):
     assert licenses.license_blocks(docs(spark, [NEAR_LICENSES])).collect() == []
 
 
+def test_every_license_of_a_block(spark):
+    every = [(name, t) for name, texts in licenses.TEMPLATES.items() for t in texts]
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    texts = [f"{mit}\n{apache}", f"{mit}\n" * 50, "\n".join(t for _, t in every), f"{NEAR_LICENSES}{apache} {NEAR_LICENSES}{mit} {NEAR_LICENSES}"]
+    out = licenses.license_blocks(docs(spark, texts)).orderBy("doc_id", "start").collect()
+    found = [[(r["license"], r["n_different"]) for r in out if r["doc_id"] == i] for i in range(len(texts))]
+    assert found == [[("MIT", 0), ("Apache-2.0", 0)], [("MIT", 0)] * 50, [(name, 0) for name, _ in every], [("Apache-2.0", 0), ("MIT", 0)]]
+    assert all(a["doc_id"] != b["doc_id"] or a["end"] <= b["start"] for a, b in zip(out, out[1:], strict=False))
+
+
 def test_pages_of_the_training_set():
     weights = html.learn(PAGES)
     for page in PAGES:
