@@ -11,17 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmask.llm import decontam, mixing, neardup, quality, secrets
-from sparkmask.llm.common import broadcast_if_small, cut, stable_bucket, table
+from sparkmask.llm.common import broadcast_if_small, cut, dealt_anew, stable_bucket, table
 from sparkmask.llm.queries import MIX_POWERS, QUALITY_CUT
 
 #: Ids of documents to be dropped that are broadcast at most; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for those whose doc_id is in ids; a null id is in none."""
+def _without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs but for those whose key is in ids; a null key is in none."""
     ids = broadcast_if_small(cut(ids.toDF("_dropped")), BROADCAST_IDS)
-    return docs.join(ids, docs["doc_id"] == ids["_dropped"], "left_anti")
+    return docs.join(ids, docs[key] == ids["_dropped"], "left_anti")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +32,25 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest id stays."""
-    return _without(docs, neardup.near_duplicates(docs).where("not kept").select("doc_id"))
+    """Of each group of near duplicates (five words, similarity 0.8) the row with the smallest id stays, a null id last."""
+    unnamed = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1")
+    if unnamed.isEmpty():
+        return _without(docs, neardup.near_duplicates(docs).where("not kept").select("doc_id"))
+    # null and repeated ids name no row, so rows get numbers
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = neardup.near_duplicates(rows, id_col="_row").select("_row", "component_id")
+    found = cut(found.join(rows.select("_row", "doc_id"), "_row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row"))["_row"]
+    first = found.groupBy("component_id").agg(first.alias("_first"))
+    copies = found.join(dealt_anew(first), "component_id").where("_row <> _first")
+    return _without(rows, copies.select("_row"), "_row").drop("_row")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("n_hit > 0").select("doc_id"))
+    """Documents that hold a window of a benchmark item go, each row by its own text."""
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(f"_{i}") for i, c in enumerate(docs.columns)])
+    found = decontam.contamination(docs.select(row.alias("_row"), "text"), table(spark, sf_dir, "benchmark"), id_col="_row")
+    return found.where("n_hit = 0").select(*[F.col(f"_row._{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

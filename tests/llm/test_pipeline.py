@@ -62,6 +62,18 @@ def test_stages_one_by_one(spark, corpus, tmp_path):
             assert {"topic", "n_tokens", "probability"} <= set(docs.columns)
 
 
+def test_rows_that_ids_do_not_name(spark, corpus):
+    d, _, items, _ = corpus
+    text, leak = "one two three four five six seven eight nine ten", f"some words and {items[2][1]} after"
+    rows = [(None, text), (None, text), (3, text), (3, text), (4, "a clean row of its own words here"), (4, leak), (None, leak), (None, "words of another row without an id"), (None, None)]
+    given = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    seen = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    clean = sorted([r for r in rows if r[1] != leak], key=repr)
+    assert seen(corpus_pipeline.drop_benchmark(spark, given, d)) == clean
+    one = [(3, text), (4, rows[4][1]), (4, leak), (None, rows[7][1]), (None, None)]
+    assert seen(corpus_pipeline.drop_near_copies(spark, given, d)) == sorted(one, key=repr)
+
+
 def test_run_gives_the_last_stage(spark, corpus):
     d, texts, _, _ = corpus
     out = corpus_pipeline.run(spark, d)
