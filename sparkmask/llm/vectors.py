@@ -160,6 +160,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     about = classes.join(links, "id", "left").join(labels, "id", "left")
     about = about.select("label", "dim", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     members = good.withColumn("v", key).join(about, ["label", "dim", "v"]).select("id", "n_links", "component_id")
-    out = given.select("id").join(members, "id", "left")
-    out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    # each row by its own vector: an id may be null or repeated
+    rest = given.where(~F.coalesce(usable, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = members.select("id", F.col("n_links").cast("long").alias("n_links"), "component_id").unionByName(rest)
     return out.withColumn("kept", F.col("id") == F.col("component_id")).withColumnRenamed("id", id_col)

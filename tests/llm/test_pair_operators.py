@@ -169,3 +169,9 @@ def test_quantisation_bounds_are_never_exceeded():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     compare(spark, name, queries.QUERIES[name], queries.ORACLE_SQL[name])
+
+
+def test_vectors_of_repeated_ids_are_a_row_each(spark):
+    rows = [(1, "a", [1.0, 0.0]), (1, "a", [1.0, 0.0]), (2, "a", [0.0, 1.0]), (2, "b", [0.0, 1.0]), (3, "a", None), (3, "a", None)]
+    out = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out) == [(1, 1, 1), (1, 1, 1), (2, 0, 2), (2, 0, 2), (3, 0, 3), (3, 0, 3)]
