@@ -14,6 +14,7 @@ import sys
 from collections.abc import Callable, Sequence
 from typing import TextIO
 
+from sparkmask.functions.patterns import LABELS
 from sparkmask.operators import runner, stamp
 from sparkmask.plans import report, run_plan, safety
 from sparkmask.plans.rules import ALLOWED_SERVERS, InvalidRules, RuleSet, load_file
@@ -114,7 +115,8 @@ def told(outcome: runner.Outcome, out: TextIO, err: TextIO) -> int:
     if outcome.verify is not None and not outcome.verify.passed:
         print(f"{report.plural(outcome.verify.total, 'value')} still look personal; nothing was published:", file=err)
         for h in sorted(outcome.verify.hits, key=lambda h: (-h.count, h.table, h.column, h.pattern)):
-            print(f"  {h.count} x {h.pattern} in {h.table}.{h.column}", file=err)
+            label, shape = LABELS[h.pattern]
+            print(f"  {h.count} x {label} ({shape}) in {h.table}.{h.column}", file=err)
         return VERIFY_FAILED
     if not outcome.succeeded:
         print(f"The run failed: {outcome.error or 'it was not completed'}", file=err)

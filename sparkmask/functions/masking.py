@@ -26,8 +26,8 @@ def scramble(value: Column) -> Column:
 
 
 def discriminator(keys: Sequence[Column], uuid: Sequence[bool] | None = None) -> Column:
-    """The key's values as text, joined by '-'; a UUID loses its hyphens.  Null if a key is null."""
-    parts = [F.replace(k.cast("string"), F.lit("-"), F.lit("")) if u else k.cast("string") for k, u in zip(keys, uuid or [False] * len(keys), strict=True)]
+    """The key's values as text, joined by '-'; a UUID is 32 lower-case digits.  Null if a key is null."""
+    parts = [F.lower(F.replace(k.cast("string"), F.lit("-"), F.lit(""))) if u else k.cast("string") for k, u in zip(keys, uuid or [False] * len(keys), strict=True)]
     joined = parts[0]
     for p in parts[1:]:
         joined = F.concat(joined, F.lit(KEY_JOIN), p)

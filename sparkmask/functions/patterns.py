@@ -14,6 +14,14 @@ PATTERNS = {
     "phone-parens": r"\([0-9]{3}\)\s*[0-9]{3}-[0-9]{4}",
     "phone-dotted": r"[0-9]{3}\.[0-9]{3}\.[0-9]{4}",
 }
+# How reports name the shapes and show them.
+LABELS = {
+    "email": ("email address", "name@example.com"),
+    "ssn": ("Social Security number", "###-##-####"),
+    "phone-dashed": ("phone number", "###-###-####"),
+    "phone-parens": ("phone number", "(###) ###-####"),
+    "phone-dotted": ("phone number", "###.###.####"),
+}
 #: Coarse tests that a store can apply first.  They miss a few values that the patterns find, such as a@b.co, so they
 #: are used in compatible mode only.
 PREFILTERS = {

@@ -5,15 +5,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkmask.functions.identifiers import column
+
 
 def after(keys: Sequence[str], values: Sequence) -> Column:
-    """Whether a row's key comes after the given one, comparing column by column."""
-    return F.struct(*[F.col(k) for k in keys]) > F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, values, strict=True)])
+    """Whether a row's key comes after the given one, comparing column by column.
+
+    The bound on the first column follows from the rest, and stores can skip what it rules out.
+    """
+    whole = F.struct(*map(column, keys)) > F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, values, strict=True)])
+    return _bound(keys, values, whole, lambda k, v: k >= v, lambda k, v: k > v)
+
+
+def upto(keys: Sequence[str], values: Sequence) -> Column:
+    """Whether a row's key is the given one or comes before it; nulls come first."""
+    whole = F.struct(*map(column, keys)) <= F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, values, strict=True)])
+    before = lambda k, v: k.isNull() | (k <= v)
+    return _bound(keys, values, whole, before, before)
+
+
+def _bound(keys: Sequence[str], values: Sequence, whole: Column, some, all_) -> Column:
+    """With one key column its bound alone, else also the first column's; a null bound has none that stores could use."""
+    if values[0] is None:
+        return whole
+    first = column(keys[0])
+    return all_(first, F.lit(values[0])) if len(keys) == 1 else some(first, F.lit(values[0])) & whole
 
 
 def between(keys: Sequence[str], low: Sequence, high: Sequence) -> Column:
     """After `low` and not after `high`."""
-    return after(keys, low) & ~after(keys, high)
+    return after(keys, low) & upto(keys, high)
 
 
 def page(df: DataFrame, keys: Sequence[str], size: int, last: Sequence | None = None) -> DataFrame:

@@ -424,10 +424,10 @@ query("config_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")(lambd
 
 def masked_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pattern, before, after): hits in documents.text as it is and scrambled."""
-    df = table(spark, sf_dir, "documents").select("text")
-    old = sweep.counts(df).select("pattern", F.col("hits").alias("before"))
-    new = sweep.counts(df.select(masking.scramble(F.col("text")).alias("text"))).select("pattern", F.col("hits").alias("after"))
-    return old.join(new, "pattern").orderBy("pattern")
+    text = F.col("text")
+    both = sweep.counts(table(spark, sf_dir, "documents").select(text.alias("before"), masking.scramble(text).alias("after")))
+    hits = lambda c: F.sum(F.when(F.col("column") == c, F.col("hits"))).alias(c)
+    return both.groupBy("pattern").agg(hits("before"), hits("after")).orderBy("pattern")
 
 
 query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkmask.functions import patterns
+from sparkmask.functions.identifiers import column, quoted
 
 
 def string_columns(df: DataFrame) -> list[tuple[str, Column]]:
@@ -18,19 +19,32 @@ def string_columns(df: DataFrame) -> list[tuple[str, Column]]:
             for f in kind.fields:
                 walk((*path, f.name), f.dataType)
         elif isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):
-            col = F.col(".".join(f"`{p.replace('`', '``')}`" for p in path))
+            col = F.col(".".join(map(quoted, path)))
             found.append((".".join(path), F.rtrim(col) if isinstance(kind, T.CharType) else col))
 
     for f in df.schema.fields:
         # Spark reads CHAR and VARCHAR as strings and keeps the declared kind in the metadata
         declared = f.metadata.get("__CHAR_VARCHAR_TYPE_STRING", "")
         if declared.startswith("char("):
-            found.append((f.name, F.rtrim(F.col(f"`{f.name}`"))))
+            found.append((f.name, F.rtrim(column(f.name))))
         else:
             walk((f.name,), f.dataType)
     return found
 
 
+def _marks(text: Column, known: list[str], compatible: bool) -> Column:
+    """A bit for each shape that a value leaks, and one more if the value was looked at.
+
+    Whether the value is masked output is asked only once it holds a shape, which hardly any does.
+    """
+    bits = F.lit(0)
+    for k, p in enumerate(patterns.PATTERNS):
+        bits = bits.bitwiseOR(F.when(patterns.matches(text, p), 1 << k).otherwise(0))
+    looked = F.lit(1 << len(patterns.PATTERNS))
+    asked = patterns.prefilter(text) if compatible else bits != 0
+    return F.when(~asked, 0).when(bits == 0, looked).when(patterns.is_masked(text, known), looked).otherwise(bits.bitwiseOR(looked))
+
+
 def counts(df: DataFrame, known: Iterable[str] = (), compatible: bool = False) -> DataFrame:
     """(column, pattern, hits, inspected) of a table: one row for each string column and shape, zeros included.
 
@@ -41,18 +55,10 @@ def counts(df: DataFrame, known: Iterable[str] = (), compatible: bool = False) -
     schema = "column string, pattern string, hits long, inspected long"
     if not columns:
         return df.sparkSession.createDataFrame([], schema)
-    sums = []
-    for i, (_, text) in enumerate(columns):
-        found = [patterns.matches(text, p) for p in patterns.PATTERNS]
-        looked = found[0]
-        for x in found[1:]:
-            looked = looked | x
-        if compatible:
-            looked = patterns.prefilter(text)
-        masked = patterns.is_masked(text, known)
-        one = [F.count_if(looked & x & ~masked if compatible else x & ~masked) for x in found]
-        sums.append(F.struct(F.array(*one).alias("hits"), F.count_if(looked).alias("inspected")).alias(f"c{i}"))
-    row = df.agg(*sums)
+    marks = df.select(*[_marks(text, known, compatible).alias(f"c{i}") for i, (_, text) in enumerate(columns)])
+    bit = lambda i, k: F.count_if(F.col(f"c{i}").bitwiseAND(F.lit(1 << k)) != 0)
+    n = len(patterns.PATTERNS)
+    row = marks.agg(*[F.struct(F.array(*[bit(i, k) for k in range(n)]).alias("hits"), bit(i, n).alias("inspected")).alias(f"c{i}") for i in range(len(columns))])
     each = F.array(*[F.struct(F.lit(name).alias("column"), F.col(f"c{i}.hits").alias("hits"), F.col(f"c{i}.inspected").alias("inspected")) for i, (name, _) in enumerate(columns)])
     row = row.select(F.inline(each))
     shapes = F.array(*[F.lit(p) for p in patterns.PATTERNS])

@@ -8,7 +8,7 @@ from enum import Enum
 from . import masker
 from .masker import MaskPlan
 from .meta import Catalog, Temporal
-from .rules import HistoryMode, RuleSet, Unclassified
+from .rules import BATCH_SIZE, HistoryMode, RuleSet, Unclassified
 from .verdicts import Action, Kind, PlanProblem, ScrubPlan, resolve
 
 
@@ -37,6 +37,7 @@ class RunPlan:
     mask: MaskPlan
     after: tuple[Step, ...]
     fail_on_unclassified: bool = False
+    rows_per_file: int | None = None  # None leaves the size of files to Spark
 
     @property
     def problems(self) -> tuple[PlanProblem, ...]:
@@ -49,11 +50,14 @@ class RunPlan:
 
 
 def build(catalog: Catalog, rules: RuleSet, strict: bool = True, fail: bool | None = None) -> RunPlan:
-    """Histories of all versioned tables are detached, and emptied unless their rule masks them, rule or not."""
+    """Histories of all versioned tables are detached, and emptied unless their rule masks them, rule or not.
+
+    A batch size other than the default bounds the rows of a written file, as files are what is written at once here.
+    """
     scrub = resolve(catalog, rules)
     versioned = [t for t in scrub.tables if t.table.temporal is Temporal.VERSIONED]
     before = [Step(StepKind.SIMPLE_RECOVERY)]
-    if catalog.change_feed:
+    if catalog.change_feed or any(t.change_feed for t in catalog.tables):
         before.append(Step(StepKind.DROP_CHANGE_FEED))
     for t in versioned:
         before.append(Step(StepKind.DETACH_HISTORY, t.table.name))
@@ -61,4 +65,6 @@ def build(catalog: Catalog, rules: RuleSet, strict: bool = True, fail: bool | No
             before.append(Step(StepKind.EMPTY_HISTORY, t.table.history))
     before += [Step(StepKind.EMPTY_TABLE, t.table.name) for t in scrub.of(Action.TRUNCATE)]
     after = [Step(StepKind.REATTACH_HISTORY, t.table.name) for t in versioned]
-    return RunPlan(scrub, tuple(before), masker.build(scrub, strict), tuple(after), rules.unclassified is Unclassified.FAIL if fail is None else fail)
+    fail = rules.unclassified is Unclassified.FAIL if fail is None else fail
+    rows_per_file = rules.batch_size if rules.batch_size != BATCH_SIZE else None
+    return RunPlan(scrub, tuple(before), masker.build(scrub, strict), tuple(after), fail, rows_per_file)

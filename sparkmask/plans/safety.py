@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from .run_plan import RunPlan
+from .run_plan import RunPlan, StepKind
 from .verdicts import Action, Kind
 
 # Hosts on which a run may go without a typed confirmation.
@@ -39,7 +39,7 @@ def summary(plan: RunPlan, server: str) -> str:
         f"  tables masked   {len(scrub.of(Action.MASK))}",
         f"  columns masked  {scrub.count(Kind.MASKED)}",
     ]
-    if scrub.catalog.change_feed:
+    if any(s.kind is StepKind.DROP_CHANGE_FEED for s in plan.before):
         lines += ["", "  The change feed is dropped, with the copies of old rows that it holds."]
     histories = [t.table.name for t in scrub.tables if t.table.history]
     if histories:

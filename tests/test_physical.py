@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from sparkmask.operators import queries, sweep
+from sparkmask.operators import keyset, queries, sweep
 from tests.conftest import DATA, needs_data
 
 pytestmark = needs_data
@@ -35,6 +35,9 @@ def test_a_sweep_scans_a_table_once_and_sends_one_row_a_task(spark):
 def test_key_pages_take_few_rows_and_push_their_bound_down(spark):
     text = plan(queries.QUERIES["keyset_page"](spark, DATA))
     assert "TakeOrderedAndProject" in text and "Exchange" not in text
+    assert "PushedFilters: [IsNotNull(c_custkey), GreaterThan(c_custkey,40)]" in text
+    assert "GreaterThanOrEqual(conv_id,3)" in plan(queries.QUERIES["keyset_page_composite"](spark, DATA))
+    assert "LessThanOrEqual(conv_id,9)" in plan(queries.table(spark, DATA, "conversations").where(keyset.upto(["conv_id", "turn"], [9, 2])))
 
 
 def test_reconciling_shuffles_keys_alone(spark):

@@ -84,7 +84,8 @@ def test_run_masks_verifies_and_stamps(spark, dataset):
     assert members[0] == (1, 100, "xxx#1-100", "fakeemail1-100@notreal.invalid") and members[1][2] == "#1-101"
     assert dataset.table("dbo.LoginAudit").count() == 0 and dataset.table("dbo.PersonHistory").count() == 0
     assert rows(dataset.table("dbo.ContactImport")) == [("dev@example.invalid", None)] * 2
-    assert outcome.steps.index("verify") < outcome.steps.index("stamp") < outcome.steps.index("keep history again: dbo.Person")
+    steps = ["verify", "delete old rows", "keep history again: dbo.Person", "stamp"]
+    assert [s for s in outcome.steps if s in steps] == steps
     assert stamp.read(dataset.folder).sanitized and stamp.audit(dataset.folder).count() == 1
     assert [n for n in dataset.folder.names() if "staging" in n] == []
 
@@ -116,6 +117,90 @@ def test_a_broken_publish_puts_everything_back(spark, dataset, monkeypatch):
     assert dataset.table("app.Membership").where("Email like '%example%'").count() == 3
 
 
+def everything(dataset):
+    """All text under the folder that still names a person."""
+    import pathlib
+
+    found = []
+    for path in pathlib.Path(dataset.folder.root).parent.rglob("*.parquet"):
+        if path.is_file():
+            found += [str(path) for r in dataset.spark.read.parquet(str(path)).collect() if "Lovelace" in str(r) or "ada@" in str(r)]
+    return found
+
+
+def feeds(spark, dataset):
+    old = spark.createDataFrame([(1, "Ada Lovelace")], "id int, was string")
+    old.write.parquet(f"{dataset.folder.root}/_change_feed")
+    old.write.parquet(f"{dataset.folder.root}/dbo.ContactImport.parquet/_change_data")
+    spark.createDataFrame([("y",)], "v string").write.parquet(f"{dataset.folder.root}/dbo.Other.parquet")
+    old.write.parquet(f"{dataset.folder.root}/dbo.Other.parquet/_change_data")
+    return Dataset(spark, dataset.folder.root)
+
+
+def test_change_feeds_go_before_the_stamp(spark, dataset):
+    dataset = feeds(spark, dataset)
+    assert len(dataset.feeds()) == 3 and everything(dataset)
+    outcome = run(dataset, config())
+    assert outcome.succeeded, outcome.error
+    assert Dataset(spark, dataset.folder.root).feeds() == [] and everything(dataset) == []
+    assert not dataset.catalog().change_feed and dataset.catalog().table("dbo.Person").primary_key == ("PersonId",)
+
+
+@pytest.mark.parametrize("at", [1, 4, 8, 12, 15])
+def test_a_store_that_fails_at_any_move_loses_nothing(spark, dataset, monkeypatch, at):
+    dataset = feeds(spark, dataset)
+    before = {n: rows(dataset.table(n)) for n in dataset.files}
+    move, moved = Folder.move, []
+
+    def breaks(self, name, to, as_name):
+        moved.append(as_name)
+        if len(moved) == at:
+            raise OSError("the store is away")
+        move(self, name, to, as_name)
+
+    monkeypatch.setattr(Folder, "move", breaks)
+    outcome = run(dataset, config())
+    if len(moved) >= at:
+        assert not outcome.succeeded and "store is away" in outcome.error and not stamp.read(dataset.folder).sanitized
+        assert {n: rows(dataset.table(n)) for n in dataset.files} == before and len(dataset.feeds()) == 3
+
+
+@pytest.mark.parametrize("at", [2, 5, 9])
+def test_what_cannot_be_put_back_stays_in_staging(spark, dataset, monkeypatch, at):
+    move, moved = Folder.move, []
+
+    def breaks(self, name, to, as_name):
+        moved.append(as_name)
+        if len(moved) >= at:
+            raise OSError("the store is away")
+        move(self, name, to, as_name)
+
+    monkeypatch.setattr(Folder, "move", breaks)
+    outcome = run(dataset, config())
+    assert not outcome.succeeded and "NotPutBack" in outcome.error and not stamp.read(dataset.folder).sanitized
+    staging = Folder(spark, outcome.error.split("the old version is in ")[1].split(" ")[0])
+    whole = sum(dataset.folder.exists(f) or staging.exists(f"_old-{f}") for f in dataset.files.values())
+    assert whole == len(dataset.files) and any(n.startswith("_old-") for n in staging.names())
+
+
+def test_a_history_that_is_gone_leaves_no_stamp(spark, dataset, monkeypatch):
+    publish = runner.publish
+
+    def loses(dataset, staging, files, step):
+        publish(dataset, staging, files, step)
+        dataset.folder.delete("dbo.PersonHistory.parquet")
+
+    monkeypatch.setattr(runner, "publish", loses)
+    outcome = run(dataset, config())
+    assert "history of dbo.Person is gone" in outcome.error and not stamp.read(dataset.folder).sanitized
+
+
+def test_batch_size_bounds_the_rows_of_a_file(spark, dataset):
+    assert run(dataset, config(batchSize=1)).succeeded
+    files = [n for n in Folder(spark, f"{dataset.folder.root}/app.Membership.parquet").names() if n.endswith(".parquet")]
+    assert len(files) == 3
+
+
 def test_commands(spark, dataset, tmp_path):
     path = tmp_path / "rules.json"
 
@@ -124,6 +209,10 @@ def test_commands(spark, dataset, tmp_path):
         code = cli.main([argv[0], "--dataset", dataset.folder.root, "--config", str(path), *argv[1:]], spark, out, err, lambda: typed)
         return code, out.getvalue() + err.getvalue()
 
+    leaky = [dict(RULES[0], columns=[c if c["name"] != "Notes" else {"name": "Notes", "strategy": "keep"} for c in RULES[0]["columns"]]), *RULES[1:]]
+    path.write_text(config(leaky))
+    code, text = command("clean", typed="db")
+    assert code == cli.VERIFY_FAILED and "1 x phone number (###-###-####) in dbo.Person.Notes" in text and "0100" not in text
     path.write_text("{")
     assert command("report")[0] == cli.BAD_CONFIG
     path.write_text(config(allowedServers=["elsewhere"]))
