@@ -1,5 +1,7 @@
 """Queries over the data folder, each with equivalent DuckDB SQL."""
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkmask.functions import masking, patterns
 from sparkmask.operators import keyset, sweep
 from sparkmask.operators.rule_queries import RULE_QUERIES, RULE_SQL
+from sparkmask.sources.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -215,8 +218,20 @@ def history(spark, d) -> DataFrame:
     f"SELECT event_id, user_id, {s_scramble('event_type')} AS event_type, '[redacted]' AS props, valid_from, valid_to FROM ({_HISTORY}) WHERE valid_to IS NOT NULL",
 )
 def mask_history(spark, d):
-    old = history(spark, d).where("valid_to IS NOT NULL")
-    return old.withColumns({"event_type": masking.scramble(F.col("event_type")), "props": masking.constant("[redacted]", "string")})
+    """The history of a versioned table, masked by its parent's rules through the plan."""
+    from sparkmask.operators.mask import masked
+    from sparkmask.plans import run_plan
+    from sparkmask.plans.meta import build_catalog
+    from sparkmask.plans.rules import load
+
+    now = history(spark, d)
+    facts = {"tables": {"main.state": {"primaryKey": ["event_id"], "history": "main.old"}, "main.old": {"temporal": "history"}}}
+    rules = [{"name": "event_type", "strategy": "scramble"}, {"name": "props", "strategy": "static", "value": "[redacted]"}]
+    plan = run_plan.build(
+        build_catalog("d", {"main.state": now.schema, "main.old": now.schema}, facts), load(json.dumps({"tables": [{"name": "main.state", "history": "mask", "columns": rules}]}))
+    )
+    mask = next(t for t in plan.mask.tables if t.table.name == "main.old")
+    return masked(now.where("valid_to IS NOT NULL"), mask, plan.scrub.catalog.table("main.state"))
 
 
 @query("truncate_table", "SELECT event_id, ts, user_id, event_type, value, props FROM events WHERE false")
@@ -336,6 +351,60 @@ query("verify_worst_columns", f'SELECT "table", "column", CAST(sum(hits) AS BIGI
     lambda spark, d: swept(spark, d).groupBy("table", "column").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "table", "column").limit(12)
 )
 
+# The same over streams
+
+_MAILS = "SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 'u' || CAST(user_id AS VARCHAR) || '@example.invalid' ELSE event_type END AS v FROM events"
+
+
+def mails(events: DataFrame) -> DataFrame:
+    """Events with an address in every third row."""
+    address = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.invalid"))
+    return events.select("event_id", "ts", F.when(F.col("event_id") % 3 == 0, address).otherwise(F.col("event_type")).alias("v"))
+
+
+def _streamed(spark, d, change: Callable[[DataFrame], DataFrame], mode: str, check: bool = False) -> DataFrame:
+    """What a stream over the events writes, all micro-batches together; with `check` each passes the gate first."""
+    from sparkmask.streaming import stream
+
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    given = stream.read_folder(spark, d, table(spark, d, "events").schema, "events.parquet")
+    write = lambda df, epoch: df.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
+    out = change(given)
+    sink = out.writeStream.outputMode(mode).foreachBatch(stream.gate(write) if check else write)
+    sink.trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out/epoch=*")
+
+
+@query("stream_mask", f"SELECT event_id, ts, {s_scramble('v')} AS v FROM ({_MAILS})")
+def stream_mask(spark, d):
+    """A mask over a stream, each micro-batch swept before it is written."""
+    from sparkmask.plans.shortcut import table_plan
+    from sparkmask.streaming import stream
+
+    plan = table_plan(mails(table(spark, d, "events")), "main.mails", ["event_id"], {"v": {"strategy": "scramble"}})
+    return _streamed(spark, d, lambda given: stream.mask_stream(mails(given), plan), "append", check=True)
+
+
+@query(
+    "stream_hits_by_window",
+    f"""SELECT date_trunc('day', ts) AS day, pattern, CAST(sum(CASE WHEN pattern = 'email' AND event_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS hits, count(*) AS rows
+FROM ({_MAILS}), (VALUES {', '.join(f"('{p}')" for p in patterns.PATTERNS)}) AS p(pattern) GROUP BY ALL""",
+)
+def stream_hits_by_window(spark, d):
+    """Hits by day over a stream with a watermark; complete windows, as the source ends."""
+    from sparkmask.streaming import stream
+
+    out = _streamed(spark, d, lambda given: stream.hit_rate(mails(given), "ts", "v", "1 day", "400 days"), "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("day"), "pattern", "hits", "rows")
+
+
+@query("lateral_hits", f"SELECT id, pattern FROM ({_MADE}), (VALUES {', '.join(f"('{p}')" for p in patterns.PATTERNS)}) AS p(pattern) WHERE CASE pattern {' '.join(f"WHEN '{p}' THEN {s_matches('v', p)}" for p in patterns.PATTERNS)} END")
+def lateral_hits(spark, d):
+    """A row for each value and shape that it holds, by a lateral generator over the shapes."""
+    found = F.filter(F.array(*[F.when(patterns.matches(F.col("v"), p), p) for p in patterns.PATTERNS]), lambda p: p.isNotNull())
+    return made(spark, d).withColumn("found", found).select("id", F.explode("found").alias("pattern"))
+
+
 # Keys, pages, reconciliation
 
 _KEYS = {"customer": ["c_custkey"], "conversations": ["conv_id", "turn"], "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"]}
@@ -419,9 +488,6 @@ def key_width_check(spark, d):
     return df.agg(widest.alias("widest"), F.lit(planned).cast("long").alias("planned"), (widest <= planned).alias("fits"))
 
 
-query("config_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")(lambda spark, d: table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash")))
-
-
 def masked_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pattern, before, after): hits in documents.text as it is and scrambled."""
     text = F.col("text")

@@ -1,43 +1,55 @@
-"""Queries over rules and schema facts: small inline relations on both sides."""
+"""Queries over rules and schema facts.  Small inline facts go through the planner here and through plain SQL there."""
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkmask.functions import names
+from sparkmask.operators import stamp
+from sparkmask.plans import keys, meta, report, run_plan, safety
+from sparkmask.plans.meta import TOOL_TABLE, Catalog, ColumnMeta, TableMeta, build_catalog
+from sparkmask.plans.rules import ALLOWED_SERVERS, InvalidRules, StaticSpec, load, nearest
+from sparkmask.plans.static_value import Refused, convert
+from sparkmask.plans.verdicts import Action, Kind
 
 RULE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 RULE_SQL: dict[str, str] = {}
 
-#: Schema facts of a small database: table, ordinal, column, type, nullable, computed, identity, in key, history of.
+#: Schema facts of a small database: table, ordinal, column, type, nullable, computed, identity, in key, history of, generated.
 FACTS = [
-    ("dbo.Person", 1, "PersonId", "int", False, False, True, True, None),
-    ("dbo.Person", 2, "FirstName", "nvarchar", True, False, False, False, None),
-    ("dbo.Person", 3, "LastName", "nvarchar", True, False, False, False, None),
-    ("dbo.Person", 4, "Email", "nvarchar", False, False, False, False, None),
-    ("dbo.Person", 5, "Ssn", "char", True, False, False, False, None),
-    ("dbo.Person", 6, "Phone", "varchar", True, False, False, False, None),
-    ("dbo.Person", 7, "Notes", "nvarchar", True, False, False, False, None),
-    ("dbo.Person", 8, "FullName", "nvarchar", True, True, False, False, None),
-    ("dbo.Person", 9, "CreatedUtc", "datetime2", False, False, False, False, None),
-    ("dbo.PersonHistory", 1, "PersonId", "int", False, False, False, False, "dbo.Person"),
-    ("dbo.PersonHistory", 2, "LastName", "nvarchar", True, False, False, False, "dbo.Person"),
-    ("app.Enrollment", 1, "EnrollmentId", "int", False, False, True, True, None),
-    ("app.Enrollment", 2, "PersonId", "int", False, False, False, False, None),
-    ("app.Enrollment", 3, "Notes", "nvarchar", True, False, False, False, None),
-    ("app.Membership", 1, "OrganizationId", "int", False, False, False, True, None),
-    ("app.Membership", 2, "MemberNumber", "int", False, False, False, True, None),
-    ("app.Membership", 3, "Username", "nvarchar", False, False, False, False, None),
-    ("app.Membership", 4, "Email", "nvarchar", False, False, False, False, None),
-    ("app.Membership", 5, "Nickname", "nvarchar", True, False, False, False, None),
-    ("dbo.LoginAudit", 1, "Id", "bigint", False, False, True, True, None),
-    ("dbo.LoginAudit", 2, "UserName", "nvarchar", True, False, False, False, None),
-    ("dbo.ContactImport", 1, "SourceFile", "nvarchar", True, False, False, False, None),
-    ("dbo.ContactImport", 2, "Email", "nvarchar", True, False, False, False, None),
-    ("dbo.ContactImport", 3, "MailingZip", "varchar", True, False, False, False, None),
+    ("dbo.Person", 1, "PersonId", "int", False, False, True, True, None, False),
+    ("dbo.Person", 2, "FirstName", "varchar(100)", True, False, False, False, None, False),
+    ("dbo.Person", 3, "LastName", "varchar(100)", True, False, False, False, None, False),
+    ("dbo.Person", 4, "Email", "varchar(256)", False, False, False, False, None, False),
+    ("dbo.Person", 5, "Ssn", "char(11)", True, False, False, False, None, False),
+    ("dbo.Person", 6, "Phone", "varchar(20)", True, False, False, False, None, False),
+    ("dbo.Person", 7, "Notes", "string", True, False, False, False, None, False),
+    ("dbo.Person", 8, "FullName", "string", True, True, False, False, None, False),
+    ("dbo.Person", 9, "CreatedUtc", "timestamp_ntz", False, False, False, False, None, False),
+    ("dbo.Person", 10, "ValidFrom", "timestamp_ntz", False, False, False, False, None, True),
+    ("dbo.Person", 11, "ValidTo", "timestamp_ntz", False, False, False, False, None, True),
+    ("dbo.PersonHistory", 1, "PersonId", "int", False, False, False, False, "dbo.Person", False),
+    ("dbo.PersonHistory", 2, "LastName", "varchar(100)", True, False, False, False, "dbo.Person", False),
+    ("app.Enrollment", 1, "EnrollmentId", "int", False, False, True, True, None, False),
+    ("app.Enrollment", 2, "PersonId", "int", False, False, False, False, None, False),
+    ("app.Enrollment", 3, "Notes", "varchar(1000)", True, False, False, False, None, False),
+    ("app.Membership", 1, "OrganizationId", "int", False, False, False, True, None, False),
+    ("app.Membership", 2, "MemberNumber", "int", False, False, False, True, None, False),
+    ("app.Membership", 3, "Username", "varchar(100)", False, False, False, False, None, False),
+    ("app.Membership", 4, "Email", "varchar(256)", False, False, False, False, None, False),
+    ("app.Membership", 5, "Nickname", "varchar(50)", True, False, False, False, None, False),
+    ("dbo.LoginAudit", 1, "Id", "bigint", False, False, True, True, None, False),
+    ("dbo.LoginAudit", 2, "UserName", "varchar(256)", True, False, False, False, None, False),
+    ("dbo.ContactImport", 1, "SourceFile", "varchar(260)", True, False, False, False, None, False),
+    ("dbo.ContactImport", 2, "Email", "varchar(256)", True, False, False, False, None, False),
+    ("dbo.ContactImport", 3, "MailingZip", "varchar(10)", True, False, False, False, None, False),
 ]
-FACT_NAMES = ["tbl", "ord", "col", "kind", "nullable", "computed", "identity", "in_key", "history_of"]
+FACT_NAMES = ["tbl", "ord", "col", "kind", "nullable", "computed", "identity", "in_key", "history_of", "generated"]
+#: Tables beside them that are the system's or the tool's.
+SYSTEM = ["sys.tables", "CDC.change_tables", "INFORMATION_SCHEMA.COLUMNS", "dbo.__SanitizationLog"]
 #: Rules: table, column (null for a rule of the whole table), strategy, position.
 RULES = [
     ("dbo.Person", "PersonId", "keep", 1),
@@ -56,6 +68,9 @@ RULES = [
     ("dbo.ContactImport", "SourceFile", "keep", 14),
 ]
 RULE_NAMES = ["tbl", "col", "strategy", "pos"]
+INDEXES = [
+    ("app.Membership", "UQ_Username", 1, "Username"), ("app.Membership", "IX_Email", 2, "Email"), ("app.Membership", "IX_Email", 1, "OrganizationId"), ("dbo.Person", "UQ_Ssn", 1, "Ssn"),
+]
 COLUMN_NAMES = (
     "SSN SSNLastFour DOB DateOfBirth PlaceOfBirth Email LoweredEmail HomePhone RegistrarFax MailingAddress MailingZip Password FirstName OtherLastNameUsed "
     "ContactMiddleName LastName LicenseNumber Name DisciplineNotes KnownCapacity ShouldReceiveDisciplineNotificationEmails SendScoreTransferByFax SendCEDataByEmail "
@@ -82,14 +97,47 @@ def _relation(spark: SparkSession, sql: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM {sql}")
 
 
-def _facts(spark: SparkSession) -> DataFrame:
-    return _relation(spark, _FACTS)
+_KINDS = {"int": T.IntegerType(), "bigint": T.LongType(), "timestamp_ntz": T.TimestampNTZType()}
+
+
+def catalog(indexes: bool = False) -> Catalog:
+    """The facts as the engine's catalog; system tables are among the schemas it is built from."""
+    schemas = {n: T.StructType([T.StructField("x", T.IntegerType())]) for n in SYSTEM}
+    facts: dict[str, dict] = {}
+    for tbl, _, col, kind, nullable, computed, identity, in_key, history_of, generated in FACTS:
+        declared = {"__CHAR_VARCHAR_TYPE_STRING": kind} if "char" in kind else {}
+        schemas.setdefault(tbl, T.StructType()).add(col, _KINDS.get(kind, T.StringType()), nullable, declared)
+        own = facts.setdefault(tbl, {"primaryKey": [], "columns": {}, "unique": {}})
+        own["primaryKey"] += [col] * in_key
+        own["columns"][col] = {"identity": identity, "generated": generated} | ({"computed": "''"} if computed else {})
+        if history_of:
+            facts[history_of]["history"], own["temporal"] = tbl, "history"
+    for tbl, name, _, col in sorted(INDEXES) if indexes else ():
+        facts[tbl]["unique"].setdefault(name, []).append(col)
+    return build_catalog("db", schemas, json.dumps({"tables": facts}))
 
 
-def _rules(spark: SparkSession) -> DataFrame:
-    """Column rules, the first of each name; names match in any case."""
-    w = Window.partitionBy(F.lower("tbl"), F.lower("col")).orderBy("pos")
-    return _relation(spark, _RULES).withColumn("nth", F.row_number().over(w))
+def rule_file(repeated: bool = False) -> str:
+    """RULES as a rule file; a column's repeated rules are left out unless wanted."""
+    tables: dict[str, dict] = {}
+    for tbl, col, strategy, _ in RULES:
+        entry = tables.setdefault(tbl.lower(), {"name": tbl})
+        if col is None:
+            entry["strategy"] = strategy
+            continue
+        rule = {"name": col, "strategy": strategy.split("-")[0]} | ({"unique": "key"} if strategy.endswith("-unique") else {}) | ({"value": "Dev"} if strategy == "static" else {})
+        columns = entry.setdefault("columns", [])
+        if repeated or col.lower() not in [c["name"].lower() for c in columns]:
+            columns.append(rule)
+    return json.dumps({"tables": list(tables.values())})
+
+
+def plan() -> run_plan.RunPlan:
+    return run_plan.build(catalog(), load(rule_file()))
+
+
+def _frame(spark: SparkSession, rows, schema: str) -> DataFrame:
+    return spark.createDataFrame(list(rows), schema)
 
 
 def query(name: str, sql: str):
@@ -100,15 +148,22 @@ def query(name: str, sql: str):
     return add
 
 
-@query("inventory_columns", f"SELECT tbl, ord, col, kind, NOT (computed OR identity) AS writable, kind IN ('char', 'nchar', 'varchar', 'nvarchar', 'text', 'ntext') AS textual FROM {_FACTS}")
+_LIVE = "lower(split_part(tbl, '.', 1)) NOT IN ('sys', 'cdc', 'information_schema')"
+
+
+@query(
+    "inventory_columns",
+    f"SELECT tbl, ord, col, nullable, NOT (computed OR identity OR generated) AS writable, kind LIKE '%char(%' OR kind = 'string' AS textual, "
+    f"CASE WHEN in_key THEN CAST(count_if(in_key) OVER (PARTITION BY tbl ORDER BY ord) AS INTEGER) END AS key_ord FROM {_FACTS}",
+)
 def inventory_columns(spark, d):
-    textual = F.col("kind").isin("char", "nchar", "varchar", "nvarchar", "text", "ntext")
-    return _facts(spark).select("tbl", "ord", "col", "kind", (~(F.col("computed") | F.col("identity"))).alias("writable"), textual.alias("textual"))
+    found = meta.inventory(spark, catalog()).where(F.lower("table") != TOOL_TABLE.lower())
+    return found.select(F.col("table").alias("tbl"), F.col("ordinal").alias("ord"), F.col("column").alias("col"), "nullable", "writable", "textual", F.col("key_ordinal").alias("key_ord"))
 
 
 _VERDICT = """CASE WHEN f.history_of IS NOT NULL THEN 'covered by parent' WHEN t.strategy = 'truncate' THEN 'truncated'
   WHEN r.strategy = 'keep' THEN 'kept' WHEN r.strategy IS NOT NULL AND f.col IS NOT NULL THEN 'masked'
-  WHEN f.col IS NULL THEN 'no such column' WHEN f.identity THEN 'exempt' ELSE 'unclassified' END"""
+  WHEN f.col IS NULL THEN 'no such column' WHEN f.generated THEN 'exempt' ELSE 'unclassified' END"""
 _FIRST_RULES = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(tbl), lower(col) ORDER BY pos) AS nth FROM {_RULES}) WHERE nth = 1 AND col IS NOT NULL)"
 _TABLE_RULES = f"(SELECT * FROM {_RULES} WHERE col IS NULL)"
 _VERDICTS = f"""SELECT coalesce(f.tbl, r.tbl) AS tbl, coalesce(f.col, r.col) AS col, r.strategy AS strategy, {_VERDICT} AS verdict
@@ -116,69 +171,104 @@ FROM (SELECT * FROM {_FACTS}) f FULL OUTER JOIN {_FIRST_RULES} r ON lower(f.tbl)
 LEFT JOIN {_TABLE_RULES} t ON lower(t.tbl) = lower(f.tbl)"""
 
 
-@query("verdict_full_outer", _VERDICTS)
+@query("verdict_full_outer", f"SELECT * FROM ({_VERDICTS}) WHERE verdict <> 'no such column'")
 def verdicts(spark, d):
-    f, r = _facts(spark).alias("f"), _rules(spark).where("nth = 1 AND col IS NOT NULL").alias("r")
-    t = _relation(spark, _RULES).where("col IS NULL").alias("t")
-    same = (F.lower("f.tbl") == F.lower("r.tbl")) & (F.lower("f.col") == F.lower("r.col"))
-    joined = f.join(r, same, "full_outer").join(F.broadcast(t), F.lower("t.tbl") == F.lower("f.tbl"), "left")
-    verdict = (
-        F.when(F.col("f.history_of").isNotNull(), "covered by parent")
-        .when(F.col("t.strategy") == "truncate", "truncated")
-        .when(F.col("r.strategy") == "keep", "kept")
-        .when(F.col("r.strategy").isNotNull() & F.col("f.col").isNotNull(), "masked")
-        .when(F.col("f.col").isNull(), "no such column")
-        .when(F.col("f.identity"), "exempt")
-        .otherwise("unclassified")
-    )
-    return joined.select(F.coalesce("f.tbl", "r.tbl").alias("tbl"), F.coalesce("f.col", "r.col").alias("col"), F.col("r.strategy").alias("strategy"), verdict.alias("verdict"))
-
+    strategy = lambda r: r and r.strategy.value + "-unique" * r.unique
+    rows = [(t.table.name, v.column.name, strategy(v.rule), v.kind.value) for t in plan().scrub.tables for v in t.verdicts if t.action is not Action.TOOL]
+    return _frame(spark, rows, "tbl string, col string, strategy string, verdict string")
 
-@query("orphan_rules", f"SELECT r.tbl, r.col, r.pos FROM {_RULES} WHERE col IS NOT NULL AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM {_FACTS}) f WHERE lower(f.tbl) = lower(r.tbl) AND lower(f.col) = lower(r.col))")
-def orphan_rules(spark, d):
-    r, f = _relation(spark, _RULES).where("col IS NOT NULL"), _facts(spark)
-    return r.join(f, (F.lower(r["tbl"]) == F.lower(f["tbl"])) & (F.lower(r["col"]) == F.lower(f["col"])), "left_anti").select("tbl", "col", "pos")
 
-
-query("unclassified_columns", f"SELECT tbl, col FROM ({_VERDICTS}) WHERE verdict = 'unclassified'")(lambda spark, d: verdicts(spark, d).where("verdict = 'unclassified'").select("tbl", "col"))
-query("plan_summary", f"SELECT verdict, count(*) AS n FROM ({_VERDICTS}) GROUP BY verdict")(lambda spark, d: verdicts(spark, d).groupBy("verdict").agg(F.count("*").alias("n")))
-query("run_totals", f"SELECT count(DISTINCT lower(tbl)) AS tables, count_if(verdict = 'masked')::BIGINT AS masked, count_if(verdict = 'truncated')::BIGINT AS emptied FROM ({_VERDICTS})")(
-    lambda spark, d: verdicts(spark, d).agg(F.countDistinct(F.lower("tbl")).alias("tables"), F.count_if(F.col("verdict") == "masked").alias("masked"), F.count_if(F.col("verdict") == "truncated").alias("emptied"))
+query(
+    "orphan_rules",
+    f"""WITH r AS (SELECT *, dense_rank() OVER (ORDER BY first_pos) - 1 AS nth FROM (SELECT *, min(pos) OVER (PARTITION BY lower(tbl)) AS first_pos FROM {_RULES}))
+SELECT DISTINCT 'tables[' || CAST(nth AS VARCHAR) || '].name' AS path FROM r WHERE lower(tbl) NOT IN (SELECT lower(tbl) FROM {_FACTS})
+UNION ALL SELECT f.tbl || '.' || r.col FROM r JOIN (SELECT DISTINCT tbl FROM {_FACTS}) f ON lower(f.tbl) = lower(r.tbl)
+WHERE r.col IS NOT NULL AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM {_FACTS}) g WHERE lower(g.tbl) = lower(r.tbl) AND lower(g.col) = lower(r.col))""",
+)(lambda spark, d: _frame(spark, [(p.path,) for p in plan().problems], "path string"))
+query("unclassified_columns", f"SELECT tbl, col FROM ({_VERDICTS}) WHERE verdict = 'unclassified'")(
+    lambda spark, d: _frame(spark, [(t.table.name, v.column.name) for t in plan().scrub.unclassified if t.action is not Action.TOOL for v in t.unclassified], "tbl string, col string")
 )
-
-
-@query(
+query("plan_summary", f"SELECT verdict, count(*) AS n FROM ({_VERDICTS}) WHERE verdict <> 'no such column' AND verdict <> 'exempt' GROUP BY verdict")(
+    lambda spark, d: _frame(spark, [(k.value, n) for k in Kind if k is not Kind.EXEMPT and (n := plan().scrub.count(k))], "verdict string, n long")
+)
+query("run_totals", f"SELECT count(DISTINCT lower(tbl)) FILTER (verdict = 'masked') AS masked_tables, count_if(verdict = 'masked')::BIGINT AS masked, count(DISTINCT lower(tbl)) FILTER (verdict = 'truncated') AS emptied FROM ({_VERDICTS})")(
+    lambda spark, d: _frame(spark, [(len((p := plan()).scrub.of(Action.MASK)), p.scrub.count(Kind.MASKED), len(p.scrub.of(Action.TRUNCATE)))], "masked_tables long, masked long, emptied long")
+)
+query(
     "mode_per_table",
     f"""SELECT tbl, CASE WHEN bool_or(strategy IN ('email', 'scramble', 'scramble-unique')) THEN 'row by row' WHEN bool_or(has_key) THEN 'batched constant' ELSE 'whole table' END AS mode
 FROM (SELECT v.*, k.has_key FROM ({_VERDICTS}) v JOIN (SELECT tbl, bool_or(in_key) AS has_key FROM {_FACTS} GROUP BY tbl) k USING (tbl)) WHERE verdict = 'masked' GROUP BY tbl""",
+)(lambda spark, d: _frame(spark, [(t.table.name, t.mode.value) for t in plan().mask.tables], "tbl string, mode string"))
+query("replacements", f"SELECT DISTINCT 'Dev' AS value FROM ({_VERDICTS}) WHERE strategy = 'static' AND verdict = 'masked'")(lambda spark, d: _frame(spark, [(v,) for v in plan().mask.replacements], "value string"))
+query(
+    "read_columns",
+    f"""SELECT tbl, string_agg(col, ',' ORDER BY part, ord) AS cols FROM (
+  SELECT DISTINCT f.tbl, f.col, f.ord, CASE WHEN f.in_key THEN 0 ELSE 1 END AS part FROM {_FACTS} JOIN ({_VERDICTS}) v ON v.tbl = f.tbl AND v.verdict = 'masked'
+  WHERE f.in_key AND v.strategy IN ('email', 'scramble-unique') OR f.col = v.col AND v.strategy LIKE 'scramble%') GROUP BY tbl""",
+)(lambda spark, d: _frame(spark, [(t.table.name, ",".join(t.read_columns)) for t in plan().mask.tables if t.read_columns], "tbl string, cols string"))
+query(
+    "run_steps",
+    f"""SELECT 'before' AS part, 'note that nothing of the run is logged for recovery' AS step UNION ALL
+SELECT DISTINCT 'before', 'stop keeping history: ' || history_of FROM {_FACTS} WHERE history_of IS NOT NULL UNION ALL SELECT DISTINCT 'before', 'empty the history: ' || tbl FROM {_FACTS} WHERE history_of IS NOT NULL UNION ALL
+SELECT 'before', 'empty the table: ' || tbl FROM {_RULES} WHERE strategy = 'truncate' UNION ALL SELECT DISTINCT 'after', 'keep history again: ' || history_of FROM {_FACTS} WHERE history_of IS NOT NULL""",
+)(lambda spark, d: _frame(spark, [("before", str(s)) for s in plan().before] + [("after", str(s)) for s in plan().after], "part string, step string"))
+query("history_lookup", f"SELECT DISTINCT p.tbl, h.tbl AS history FROM {_FACTS.replace('AS f(', 'AS p(')} LEFT JOIN (SELECT * FROM {_FACTS}) h ON h.history_of = p.tbl WHERE p.history_of IS NULL")(
+    lambda spark, d: _frame(spark, [(t.name, t.history) for t in _live(catalog())], "tbl string, history string")
 )
-def mode_per_table(spark, d):
-    key = _facts(spark).groupBy("tbl").agg(F.bool_or("in_key").alias("has_key"))
-    masked = verdicts(spark, d).where("verdict = 'masked'").join(key, "tbl")
-    per_row = F.bool_or(F.col("strategy").isin("email", "scramble", "scramble-unique"))
-    return masked.groupBy("tbl").agg(F.when(per_row, "row by row").when(F.bool_or("has_key"), "batched constant").otherwise("whole table").alias("mode"))
+query("live_tables", f"SELECT DISTINCT tbl FROM {_FACTS} WHERE tbl NOT IN (SELECT tbl FROM {_FACTS} WHERE history_of IS NOT NULL)")(lambda spark, d: _frame(spark, [(t.name,) for t in _live(catalog())], "tbl string"))
+
+
+def _live(c: Catalog) -> list[TableMeta]:
+    """Tables but those that keep another's history, and the tool's own."""
+    return [t for t in c.tables if t.name.lower() not in c.history_names and t.name.lower() != TOOL_TABLE.lower()]
 
 
-query("history_lookup", f"SELECT DISTINCT p.tbl, h.tbl AS history FROM {_FACTS.replace('AS f(', 'AS p(')} LEFT JOIN (SELECT * FROM {_FACTS}) h ON h.history_of = p.tbl WHERE p.history_of IS NULL")(
-    lambda spark, d: (
-        _facts(spark).where("history_of IS NULL").select("tbl").distinct().join(_facts(spark).select(F.col("tbl").alias("history"), F.col("history_of").alias("tbl")).distinct(), "tbl", "left").select("tbl", F.col("history").alias("history"))
-    )
-)
-query("live_tables", f"SELECT DISTINCT tbl FROM {_FACTS} WHERE tbl NOT IN (SELECT tbl FROM {_FACTS} WHERE history_of IS NOT NULL)")(
-    lambda spark, d: _facts(spark).select("tbl").distinct().join(_facts(spark).where("history_of IS NOT NULL").select("tbl"), "tbl", "left_anti")
-)
 query("covered_tables", f"SELECT DISTINCT tbl FROM {_FACTS} WHERE lower(tbl) IN (SELECT lower(tbl) FROM {_RULES})")(
-    lambda spark, d: _facts(spark).select("tbl").distinct().join(_relation(spark, _RULES).select(F.lower("tbl").alias("_t")), F.lower("tbl") == F.col("_t"), "left_semi")
+    lambda spark, d: _frame(spark, [(t.table.name,) for t in plan().scrub.tables if t.rule is not None], "tbl string")
 )
 query("columns_per_table_listagg", f"SELECT tbl, count(*) AS n, string_agg(col, ', ' ORDER BY ord) AS cols FROM {_FACTS} GROUP BY tbl")(
-    lambda spark, d: _facts(spark).groupBy("tbl").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "col"))), lambda x: x["col"]), ", ").alias("cols"))
+    lambda spark, d: inventory_columns(spark, d).groupBy("tbl").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "col"))), lambda x: x["col"]), ", ").alias("cols"))
 )
 query("key_columns_in_order", f"SELECT tbl, string_agg(col, ',' ORDER BY ord) AS key FROM {_FACTS} WHERE in_key GROUP BY tbl")(
-    lambda spark, d: _facts(spark).where("in_key").groupBy("tbl").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "col"))), lambda x: x["col"]), ",").alias("key"))
+    lambda spark, d: _frame(spark, [(t.name, ",".join(k.name for k in t.key_columns)) for t in catalog().tables if t.primary_key], "tbl string, key string")
 )
-query("duplicate_rules", f"SELECT tbl, col, pos, first_pos FROM (SELECT *, min(pos) OVER w AS first_pos FROM {_RULES} WINDOW w AS (PARTITION BY lower(tbl), lower(col))) WHERE pos > first_pos")(
-    lambda spark, d: _relation(spark, _RULES).withColumn("first_pos", F.min("pos").over(Window.partitionBy(F.lower("tbl"), F.lower("col")))).where("pos > first_pos").select("tbl", "col", "pos", "first_pos")
+
+
+def _problems(text: str) -> list:
+    try:
+        load(text)
+    except InvalidRules as e:
+        return e.problems
+    return []
+
+
+query(
+    "duplicate_rules",
+    f"""SELECT 'DBS008' AS code, 'tables[' || CAST(t AS VARCHAR) || '].columns[' || CAST(c AS VARCHAR) || '].name' AS path FROM (
+  SELECT *, dense_rank() OVER (ORDER BY first_tbl) - 1 AS t, row_number() OVER (PARTITION BY lower(tbl) ORDER BY pos) - 1 AS c, min(pos) OVER (PARTITION BY lower(tbl), lower(col)) AS first_pos
+  FROM (SELECT *, min(pos) OVER (PARTITION BY lower(tbl)) AS first_tbl FROM {_RULES})) WHERE pos > first_pos""",
+)(lambda spark, d: _frame(spark, [(p.code, p.path) for p in _problems(rule_file(repeated=True))], "code string, path string"))
+
+#: Faulty rule files, and the codes and places of what is wrong with each.
+FAULTY = [
+    ("{", "DBS001 (1,2)"), ("[]", "DBS004 (1,1)"), ("{}", "DBS003 (1,1)"), ('{"tables": {}}', "DBS004 (1,12)"), ('{"tables": [{"name": "a.b"}]}', "DBS009 (1,13)"),
+    ('{"tables": [{"name": "a.b", "strategy": "keep"}]}', "DBS003 (1,13)"), ('{"tables": [{"name": "b", "strategy": "truncate"}]}', "DBS005 (1,22)"),
+    ('{"tables": [\n{"name": "a.b", "columns": [{"name": "x"}]}]}', "DBS003 (2,29)"), ('{"tables": [], "defaults": {"batchSize": 0}}', "DBS005 (1,42)"),
+    ('{"tables": [\n{"name": "a.b", "columns": [{"name": "x", "strategy": "static"}]}]}', "DBS006 (2,29)"),
+]
+_FILES = _values([(i, t) for i, (t, _) in enumerate(FAULTY)], ["id", "text"], "f")
+query("config_problems", f"SELECT id, problem FROM {_values([(i, p) for i, (_, p) in enumerate(FAULTY)], ['id', 'problem'], 'p')}")(
+    lambda spark, d: _frame(spark, [(i, "; ".join(f"{p.code} ({p.line},{p.column})" for p in _problems(t))) for i, (t, _) in enumerate(FAULTY)], "id int, problem string")
 )
+query("config_hash", f"SELECT sha256({_literal(rule_file())}) AS hash")(lambda spark, d: _frame(spark, [(load(rule_file()).hash,)], "hash string"))
+query("unique_rules_grouped", f"SELECT tbl, count(*) AS n, string_agg(idx || '(' || cols || ')', '; ' ORDER BY idx) AS rules FROM (SELECT tbl, idx, string_agg(col, ',' ORDER BY ord) AS cols FROM {_values(INDEXES, ['tbl', 'idx', 'ord', 'col'], 'i')} GROUP BY tbl, idx) GROUP BY tbl")(
+    lambda spark, d: _frame(spark, [(t.name, len(t.unique_rules), "; ".join(f"{u.name}({','.join(u.columns)})" for u in sorted(t.unique_rules, key=lambda u: u.name))) for t in catalog(indexes=True).tables if t.unique_rules], "tbl string, n long, rules string")
+)
+query(
+    "unclassified_summary",
+    f"SELECT n, kind FROM (SELECT split_part(hint, ': ', 2) AS kind, count(*) AS n FROM (SELECT {'{hint}'} AS hint FROM (SELECT {'{tokens}'} AS t FROM ({_VERDICTS}) WHERE verdict = 'unclassified')) WHERE hint IS NOT NULL GROUP BY ALL)",
+)(lambda spark, d: _frame(spark, [(int(n), kind) for n, kind in (line.split(" x ") for line in report.summary(plan().scrub.unclassified) if " x " in line)], "n long, kind string"))
+
 
 # Names and hints
 
@@ -214,6 +304,7 @@ query("hint_kinds", f"SELECT hint, count(*) AS n FROM (SELECT {_HINT} AS hint FR
     lambda spark, d: _relation(spark, _NAMES).select(_hint_text(F.col("name")).alias("hint")).where("hint IS NOT NULL").groupBy("hint").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "hint")
 )
 
+RULE_SQL["unclassified_summary"] = RULE_SQL["unclassified_summary"].replace("{hint}", _HINT).replace("{tokens}", _TOKENS.replace("(name,", "(col,"))
 _HINTED = f"SELECT tbl, ord, col, {_HINT} AS hint FROM (SELECT tbl, ord, col, {_TOKENS.replace('(name,', '(col,')} AS t FROM {_FACTS} WHERE history_of IS NULL)"
 
 
@@ -227,7 +318,7 @@ _HINTED = f"SELECT tbl, ord, col, {_HINT} AS hint FROM (SELECT tbl, ord, col, {_
 def top_tables_by_hints(spark, d):
     """The 12 tables with the most strong hints, and the first 6 columns of each."""
     w = Window.partitionBy("tbl")
-    hinted = _facts(spark).where("history_of IS NULL").withColumn("hint", _hint_text(F.col("col"))).where("hint IS NOT NULL")
+    hinted = inventory_columns(spark, d).where(F.col("tbl") != "dbo.PersonHistory").withColumn("hint", _hint_text(F.col("col"))).where("hint IS NOT NULL")
     ranked = hinted.withColumns({"n": F.count("*").over(w), "nth": F.row_number().over(w.orderBy("ord"))}).where("nth <= 6")
     cols = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "col"))), lambda x: x["col"]), ", ")
     best = ranked.groupBy("tbl").agg(F.max("n").alias("n"), F.count_if(F.col("hint").startswith("strong")).alias("strong"), cols.alias("cols")).orderBy(F.desc("strong"), "tbl").limit(12)
@@ -237,30 +328,28 @@ def top_tables_by_hints(spark, d):
 _TYPOS, _KNOWN = _values([(i, t) for i, t in enumerate(TYPOS)], ["id", "given"], "t"), _values([(i, k) for i, k in enumerate(KNOWN)], ["pos", "known"], "k")
 
 
-@query(
+query(
     "typo_suggest",
-    f"""SELECT id, given, known, distance FROM (SELECT id, given, known, levenshtein(lower(given), lower(known)) AS distance, row_number() OVER (PARTITION BY id ORDER BY levenshtein(lower(given), lower(known)), pos) AS nth
-FROM {_TYPOS}, {_KNOWN}) WHERE nth = 1 AND distance BETWEEN 1 AND 2""",
-)
-def typo_suggest(spark, d):
-    known = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(k).alias("known")) for i, k in enumerate(KNOWN)])
-    pairs = _relation(spark, _TYPOS).select("*", F.inline(known))
-    pairs = pairs.withColumn("distance", F.levenshtein(F.lower("given"), F.lower("known")).cast("long"))
-    w = Window.partitionBy("id").orderBy("distance", "pos")
-    return pairs.withColumn("nth", F.row_number().over(w)).where("nth = 1 AND distance BETWEEN 1 AND 2").select("id", "given", "known", "distance")
+    f"""SELECT id, given, CASE WHEN distance <= 2 THEN known END AS known FROM (SELECT id, given, known, levenshtein(lower(given), lower(known)) AS distance, row_number() OVER (PARTITION BY id ORDER BY levenshtein(lower(given), lower(known)), pos) AS nth
+FROM {_TYPOS}, {_KNOWN}) WHERE nth = 1""",
+)(lambda spark, d: _frame(spark, [(i, t, nearest(t, tuple(KNOWN))) for i, t in enumerate(TYPOS)], "id int, given string, known string"))
 
 
 _STAMPS = _values([(i, s) for i, s in enumerate(STAMPS)], ["id", "value"], "s")
 
 
 query("stamp_interpret", f"SELECT id, coalesce(lower(trim(value)) IN ('true', '1'), false) AS stamped FROM {_STAMPS}")(
-    lambda spark, d: _relation(spark, _STAMPS).select("id", F.coalesce(F.lower(F.trim("value")).isin("true", "1"), F.lit(False)).alias("stamped"))
+    lambda spark, d: _frame(spark, [(i, stamp.interpret({stamp.SANITIZED: v}).sanitized) for i, v in enumerate(STAMPS)], "id int, stamped boolean")
+)
+query("qualified_names", f"SELECT DISTINCT split_part(tbl, '.', 1) AS schema_name, split_part(tbl, '.', 2) AS table_name FROM (SELECT *, row_number() OVER (PARTITION BY lower(tbl) ORDER BY pos) AS nth FROM {_RULES}) WHERE nth = 1")(
+    lambda spark, d: _frame(spark, [(t.schema, t.table) for t in load(rule_file()).tables], "schema_name string, table_name string")
+)
+query("all_names", f"SELECT lower(tbl) AS tbl FROM {_FACTS} UNION SELECT lower(tbl) FROM {_RULES}")(
+    lambda spark, d: _frame(spark, [(t.name.lower(),) for t in catalog().tables if t.name.lower() != TOOL_TABLE.lower()], "tbl string").union(_frame(spark, [(t.name.lower(),) for t in load(rule_file()).tables], "tbl string")).distinct()
 )
-query("qualified_names", f"SELECT DISTINCT tbl, split_part(tbl, '.', 1) AS schema_name, split_part(tbl, '.', 2) AS table_name FROM {_RULES} WHERE regexp_matches(tbl, '^[^.]+[.][^.]+\\z')")(
-    lambda spark, d: _relation(spark, _RULES).where(F.col("tbl").rlike(r"^[^.]+[.][^.]+\z")).select("tbl", F.split_part("tbl", F.lit("."), F.lit(1)).alias("schema_name"), F.split_part("tbl", F.lit("."), F.lit(2)).alias("table_name")).distinct()
+query("rules_without_table", f"SELECT DISTINCT lower(tbl) AS tbl FROM {_RULES} EXCEPT SELECT lower(tbl) FROM {_FACTS}")(
+    lambda spark, d: _frame(spark, [(t.name.lower(),) for t in load(rule_file()).tables], "tbl string").exceptAll(_frame(spark, [(t.name.lower(),) for t in catalog().tables], "tbl string"))
 )
-query("all_names", f"SELECT lower(tbl) AS tbl FROM {_FACTS} UNION SELECT lower(tbl) FROM {_RULES}")(lambda spark, d: _facts(spark).select(F.lower("tbl").alias("tbl")).union(_relation(spark, _RULES).select(F.lower("tbl"))).distinct())
-query("rules_without_table", f"SELECT DISTINCT lower(tbl) AS tbl FROM {_RULES} EXCEPT SELECT lower(tbl) FROM {_FACTS}")(lambda spark, d: _relation(spark, _RULES).select(F.lower("tbl").alias("tbl")).distinct().exceptAll(_facts(spark).select(F.lower("tbl").alias("tbl")).distinct()))
 
 # Safety, keys, dates and values
 
@@ -268,7 +357,7 @@ SERVERS = ["localhost", "LOCALHOST", ".", "(local)", "127.0.0.1", " localhost ",
 TYPED = [("db", "db"), (" db ", "db"), ("DB", "db"), ("", ""), ("db2", "db"), (None, "db")]
 DATES = ["2026-08-03", "2026-08-03 10:11:12", "1970-01-01 00:00:00", "someday", "", "2026-13-01", None]
 WRITTEN = ["42", "-1", "255", "99999", "1.5", "12.34", "true", "last Tuesday", "1970-01-01", "", None]
-GUIDS = [("6F9619FF-8B86-D011-B42D-00C04FC964FF", 7), ("00000000-0000-0000-0000-000000000000", 1)]
+GUIDS = [("6F9619FF-8B86-D011-B42D-00C04FC964FF", 7), ("6f9619ff-8b86-d011-b42d-00c04fc964ff", 7), ("00000000-0000-0000-0000-000000000000", 1)]
 
 _SERVERS = _values([(i, s) for i, s in enumerate(SERVERS)], ["id", "server"], "s")
 _TYPED = _values([(i, *t) for i, t in enumerate(TYPED)], ["id", "typed", "name"], "t")
@@ -277,53 +366,57 @@ _WRITTEN = _values([(i, s) for i, s in enumerate(WRITTEN)], ["id", "value"], "w"
 _GUIDS = _values(GUIDS, ["guid", "part"], "g")
 
 
-def _spark(sql: str) -> str:
-    """Spark reads a backslash in a string as an escape, DuckDB doesn't."""
-    return sql.replace("\\", "\\\\")
-
-
-@query(
+query(
     "server_allowlist",
     f"SELECT id, coalesce(lower(trim(server)) IN ('localhost', '.', '(local)', '127.0.0.1'), false) AS allowed, coalesce(lower(split_part(trim(server), '\\', 1)) IN ('localhost', '.', '127.0.0.1'), false) AS unattended FROM {_SERVERS}",
+)(lambda spark, d: _frame(spark, [(i, safety.allowed(s, ALLOWED_SERVERS), safety.unattended(s)) for i, s in enumerate(SERVERS)], "id int, allowed boolean, unattended boolean"))
+query("typed_confirmation", f"SELECT id, coalesce(trim(typed) = trim(name) AND trim(typed) <> '', false) AS confirmed FROM {_TYPED}")(
+    lambda spark, d: _frame(spark, [(i, safety.confirmed(*t)) for i, t in enumerate(TYPED)], "id int, confirmed boolean")
 )
-def server_allowlist(spark, d):
-    from sparkmask.plans.rules import ALLOWED_SERVERS
-    from sparkmask.plans.safety import UNATTENDED
 
-    name = F.lower(F.trim("server"))
-    host = F.substring_index(name, "\\", 1)
-    return _relation(spark, _spark(_SERVERS)).select("id", F.coalesce(name.isin(*ALLOWED_SERVERS), F.lit(False)).alias("allowed"), F.coalesce(host.isin(*UNATTENDED), F.lit(False)).alias("unattended"))
+
+def _stamped_at(value: str | None) -> str | None:
+    when = stamp.interpret({stamp.SANITIZED_UTC: value}).when
+    return when and when.strftime("%Y-%m-%d %H:%M:%S")
 
 
-query("typed_confirmation", f"SELECT id, coalesce(trim(typed) = trim(name) AND trim(typed) <> '', false) AS confirmed FROM {_TYPED}")(
-    lambda spark, d: _relation(spark, _TYPED).select("id", F.coalesce((F.trim("typed") == F.trim("name")) & (F.trim("typed") != ""), F.lit(False)).alias("confirmed"))
-)
 query("stamp_dates", f"SELECT id, strftime(try_cast(value AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS stamped_at FROM {_DATES}")(
-    lambda spark, d: _relation(spark, _DATES).select("id", F.date_format(F.try_to_timestamp("value"), "yyyy-MM-dd HH:mm:ss").alias("stamped_at"))
+    lambda spark, d: _frame(spark, [(i, _stamped_at(v)) for i, v in enumerate(DATES)], "id int, stamped_at string")
 )
 
 
-@query(
+def _converted(kind: str, text: str | None, type_: T.DataType, **facts) -> str | None:
+    """What a value as written becomes in a column of the type; null where it is refused."""
+    try:
+        return None if text is None else str(convert(StaticSpec(kind, text), ColumnMeta("c", type_, **facts)))
+    except Refused:
+        return None
+
+
+query(
     "static_values",
     f"""SELECT id, CASE WHEN regexp_matches(value, '^-?[0-9]+$') THEN CAST(try_cast(value AS SMALLINT) AS VARCHAR) END AS small,
   CASE WHEN regexp_matches(value, '^[0-9]+$') AND try_cast(value AS BIGINT) <= 255 THEN CAST(try_cast(value AS SMALLINT) AS VARCHAR) END AS tiny,
-  CASE WHEN regexp_matches(value, '^-?[0-9]+(\\.[0-9]+)?$') THEN try_cast(value AS DOUBLE) END AS number, CASE WHEN value IN ('true', 'false', '1', '0') THEN value IN ('true', '1') END AS flag,
-  CASE WHEN regexp_matches(value, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN CAST(try_cast(value AS DATE) AS VARCHAR) END AS day, length(value) <= 5 AS fits FROM {_WRITTEN}""",
-)
-def static_values(spark, d):
-    v = F.col("value")
-    return _relation(spark, _WRITTEN).select(
-        "id",
-        F.when(v.rlike(r"^-?[0-9]+\z"), v.try_cast("smallint").cast("string")).alias("small"),
-        F.when(v.rlike(r"^[0-9]+\z") & (v.try_cast("bigint") <= 255), v.try_cast("smallint").cast("string")).alias("tiny"),
-        F.when(v.rlike(r"^-?[0-9]+(\.[0-9]+)?\z"), v.try_cast("double")).alias("number"),
-        F.when(v.isin("true", "false", "1", "0"), v.isin("true", "1")).alias("flag"),
-        F.when(v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), v.try_cast("date").cast("string")).alias("day"),
-        (F.length(v) <= 5).alias("fits"),
+  CASE WHEN regexp_matches(value, '^-?[0-9]+([.][0-9]+)?$') THEN try_cast(value AS DOUBLE) END AS number, CASE WHEN value IN ('true', 'false', '1', '0') THEN value IN ('true', '1') END AS flag,
+  CASE WHEN regexp_matches(value, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN CAST(try_cast(value AS DATE) AS VARCHAR) END AS day, CASE WHEN length(value) <= 5 THEN value END AS short FROM {_WRITTEN}""",
+)(
+    lambda spark, d: _frame(
+        spark,
+        [
+            (
+                i, _converted("number", v, T.ShortType()), _converted("number", v, T.ByteType(), unsigned=True), n and float(n), f and f == "True",
+                _converted("string", v, T.DateType()), _converted("string", v, T.StringType(), max_length=5),
+            )
+            for i, v in enumerate(WRITTEN)
+            for n in [_converted("number", v, T.DoubleType()) if v and v.lstrip("-")[:1].isdigit() and "-" not in v[1:] else None]
+            for f in [_converted("boolean", v, T.BooleanType())]
+        ],
+        "id int, small string, tiny string, number double, flag boolean, day string, short string",
     )
+)
 
 
-@query("guid_keys", f"SELECT guid, replace(guid, '-', '') || '-' || CAST(part AS VARCHAR) AS key, 'fakeemail' || replace(guid, '-', '') || '-' || CAST(part AS VARCHAR) || '@notreal.invalid' AS email FROM {_GUIDS}")
+@query("guid_keys", f"SELECT guid, replace(lower(guid), '-', '') || '-' || CAST(part AS VARCHAR) AS key, 'fakeemail' || replace(lower(guid), '-', '') || '-' || CAST(part AS VARCHAR) || '@notreal.invalid' AS email FROM {_GUIDS}")
 def guid_keys(spark, d):
     from sparkmask.functions import masking
 
@@ -341,36 +434,10 @@ def excused_by_join(spark, d):
     return df.join(df.where("c_custkey % 3 = 0").select("c_name"), "c_name", "left_anti").select("c_custkey", "c_name")
 
 
-query("system_schemas", f"SELECT DISTINCT tbl FROM (SELECT tbl FROM {_FACTS} UNION ALL VALUES ('sys.tables'), ('CDC.change_tables'), ('INFORMATION_SCHEMA.COLUMNS'), ('dbo.__SanitizationLog')) WHERE lower(split_part(tbl, '.', 1)) NOT IN ('sys', 'cdc', 'information_schema') AND lower(tbl) <> 'dbo.__sanitizationlog'")(
-    lambda spark, d: (
-        _facts(spark).select("tbl").union(_relation(spark, "VALUES ('sys.tables'), ('CDC.change_tables'), ('INFORMATION_SCHEMA.COLUMNS'), ('dbo.__SanitizationLog') AS x(tbl)"))
-        .where(~F.lower(F.split_part("tbl", F.lit("."), F.lit(1))).isin("sys", "cdc", "information_schema") & (F.lower("tbl") != "dbo.__sanitizationlog")).distinct()
-    )
-)
+query("system_schemas", f"SELECT DISTINCT tbl FROM (SELECT tbl FROM {_FACTS} UNION ALL VALUES {', '.join(f'({_literal(n)})' for n in SYSTEM)}) WHERE {_LIVE}")(
+    lambda spark, d: _frame(spark, [(t.name,) for t in catalog().tables], "tbl string")
+)
 query(
     "usable_keys",
     f"SELECT tbl, bool_and(kind IN ('tinyint', 'smallint', 'int', 'bigint')) AS spliceable, CAST(sum(CASE kind WHEN 'tinyint' THEN 3 WHEN 'smallint' THEN 6 WHEN 'int' THEN 11 WHEN 'bigint' THEN 20 ELSE 32 END) + count(*) - 1 AS BIGINT) AS width FROM {_FACTS} WHERE in_key GROUP BY tbl",
-)(
-    lambda spark, d: (
-        _facts(spark).where("in_key").groupBy("tbl").agg(
-            F.bool_and(F.col("kind").isin("tinyint", "smallint", "int", "bigint")).alias("spliceable"),
-            (F.sum(F.expr("CASE kind WHEN 'tinyint' THEN 3 WHEN 'smallint' THEN 6 WHEN 'int' THEN 11 WHEN 'bigint' THEN 20 ELSE 32 END")) + F.count("*") - 1).alias("width"),
-        )
-    )
-)
-
-INDEXES = [
-    ("app.Membership", "UQ_Username", 1, "Username"), ("app.Membership", "IX_Email", 2, "Email"), ("app.Membership", "IX_Email", 1, "OrganizationId"), ("dbo.Person", "UQ_Ssn", 1, "Ssn"),
-]
-_INDEXES = _values(INDEXES, ["tbl", "idx", "ord", "col"], "i")
-
-
-@query(
-    "unique_rules_grouped",
-    f"SELECT tbl, count(*) AS n, string_agg(idx || '(' || cols || ')', '; ' ORDER BY idx) AS rules FROM (SELECT tbl, idx, string_agg(col, ',' ORDER BY ord) AS cols FROM {_INDEXES} GROUP BY tbl, idx) GROUP BY tbl",
-)
-def unique_rules_grouped(spark, d):
-    cols = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "col"))), lambda x: x["col"]), ",")
-    each = _relation(spark, _INDEXES).groupBy("tbl", "idx").agg(cols.alias("cols"))
-    rules = F.array_join(F.array_sort(F.collect_list(F.concat("idx", F.lit("("), "cols", F.lit(")")))), "; ")
-    return each.groupBy("tbl").agg(F.count("*").alias("n"), rules.alias("rules"))
+)(lambda spark, d: _frame(spark, [(t.name, all(map(keys.spliceable, t.key_columns)), keys.max_width(t.key_columns)) for t in catalog().tables if t.primary_key], "tbl string, spliceable boolean, width long"))

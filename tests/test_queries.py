@@ -45,3 +45,14 @@ def test_entry(spark):
 def test_names_of_queries():
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
     assert set(reference.QUERIES) <= set(entry_point.queries())
+
+
+def test_a_missing_package_leaves_the_other_queries(monkeypatch):
+    import sys
+
+    for name in [n for n in sys.modules if n.startswith("sparkmask.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "sparkmask.llm", None)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    with pytest.warns(UserWarning, match="no queries for training data"):
+        assert set(entry_point.queries()) == set(reference.QUERIES)
