@@ -1,39 +1,46 @@
 """Reading tables, cutting lineage, and walking Arrow batches in pieces of bounded size."""
 
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkmask.sources.shared import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A copy in the shared checkpoint folder; Spark removes it once nothing refers to it any more.
-
-    The folder is the one that the cluster names in spark.checkpoint.dir.  Only where none is set, as in tests on one
-    machine, a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
-def bounded_batches(df: DataFrame, rows: int = 512, size: str = "16m") -> SparkSession:
-    """Has Spark hand Python at most so many rows and bytes at once; texts and sets can be long.
-
-    The settings belong to the session, as plans read them when they are made; smaller ones that it has stay.
-    """
+    """A copy in the shared checkpoint folder, whose files Spark removes once nothing refers to it any more."""
     spark = df.sparkSession
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    if now <= 0 or now > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-    return spark
+    sc = spark.sparkContext
+    folder = shared_folder(spark)
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(folder)
+    # Spark asks for this setting when it checkpoints; others' checkpoints are left to theirs
+    conf, name = sc._jsc.sc().conf(), "spark.cleaner.referenceTracking.cleanCheckpoints"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(name, before)
+
+
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = 512, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many rows and bytes (one row at least), so that few texts are Python objects
+    at once."""
+    for b in batches:
+        i = 0
+        while i < b.num_rows:
+            part = b.slice(i, rows)
+            while part.num_rows > 1 and part.nbytes > size:
+                part = part.slice(0, (part.num_rows + 1) // 2)
+            yield part
+            i += part.num_rows
 
 
 def dealt_anew(df: DataFrame) -> DataFrame:

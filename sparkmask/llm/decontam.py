@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks
+from .common import chunks, pieces
 from .textops import ALNUM, U64, Words, constants, mix
 
 SHINGLE = 3
@@ -118,7 +118,7 @@ def _frequencies(documents: DataFrame, text_col: str, windows: Windows) -> dict[
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(tokens), np.int64)
-        for b in batches:
+        for b in pieces(batches):
             texts = b.column("text").to_pylist()
             for i, j in chunks([len(t or "") for t in texts], CHUNK):
                 for index, _, _ in _places(Words(texts[i:j], ALNUM), sizes, tokens):
@@ -140,7 +140,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 10, i
     ranges are the hit runs of words as [first, end) pairs, flat.  Null and empty texts have no words.  Words are
     compared by 64-bit hashes, all words of a window each.  Repeated ids and repeated rows are rows of their own.
     """
-    bounded_batches(documents)
     kind = dict(documents.dtypes)[id_col]
     given = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     given = given.withColumns({"n_words": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "ranges": F.array().cast("array<long>")})
@@ -163,7 +162,7 @@ def _finder(windows: Windows, prefixes):
     """Adds a block's items and hit words to what blocks before it found."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             texts, items, ranges = (b.column(c).to_pylist() for c in ("text", "items", "ranges"))
             counts = []
             for i, j in chunks([len(t or "") for t in texts], CHUNK):

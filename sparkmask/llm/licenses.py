@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import pieces
 from .license_texts import TEMPLATES
 
 #: A text without any of these has no block; and a block must hold one.
@@ -176,13 +176,12 @@ def license_blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     Bounds are code points, end exclusive.  Null and empty texts and texts without a notice give no row; every row of
     the input is scanned by itself, so repeated rows give repeated rows.
     """
-    bounded_batches(documents)
     kind = dict(documents.dtypes)[id_col]
     names = {"start": pa.int32(), "end": pa.int32(), "license": pa.string(), "reduction": pa.float64(), "n_words": pa.int64(), "n_different": pa.int64()}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(TEMPLATES)
-        for b in batches:
+        for b in pieces(batches):
             rows = [(k, x) for k, t in enumerate(b.column("text").to_pylist()) for x in scanner.scan(t)]
             ids = b.column("id").take(pa.array([k for k, _ in rows], pa.int64()))
             yield pa.record_batch([ids, *(pa.array([x[n] for _, x in rows], t) for n, t in names.items())], ["id", *names])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, broadcast_if_small, chunks, cut, dealt_anew
+from .common import broadcast_if_small, chunks, cut, dealt_anew, pieces
 from .components import connected_components, roots
 from .textops import U64, Words, constants, mix
 
@@ -96,7 +96,7 @@ def signatures(documents: DataFrame, id_col: str, text_col: str, size: int, rows
     kind = dict(documents.dtypes)[id_col]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             n, whole_a, whole_b, names, sketches = [], [], [], [], []
             for s in shingle_sets(b.column("text").to_pylist(), size):
                 n.append(len(s))
@@ -135,7 +135,7 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, id_col: str, text_col: st
     full = _sets(documents, ids, id_col, text_col, size)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             keep = []
             for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
@@ -157,7 +157,7 @@ def _sets(documents: DataFrame, ids: DataFrame, id_col: str, text_col: str, size
     texts = texts.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             yield pa.record_batch([b.column("id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text").to_pylist(), size)], pa.binary())], ["id", "set"])
 
     return cut(texts.mapInArrow(sets, f"id {kind}, set binary"))
@@ -224,7 +224,6 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     and texts of white space link with nothing.  Ids must be integers, unique and not null.
     """
     kind = dict(documents.dtypes)[id_col]
-    bounded_batches(documents)
     signed = cut(signatures(documents, id_col, text_col, size, band_rows(percent / 100)))
     sets = signed.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("id").alias("first"))
     sets = cut(sets)

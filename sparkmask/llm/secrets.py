@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, numbered
+from .common import chunks, numbered, pieces
 
 #: Kinds in the order that breaks ties; those after BASE are what the method adds.
 BASE = ("assign", "access", "hex")
@@ -98,7 +98,6 @@ def secrets(documents: DataFrame, text_col: str = "text", redact: str | None = N
     With `redact` the text's secrets, overlapping ones as one, are replaced by it.  Null and empty texts have none, and
     a null text stays null.  Every row is a row of the result; a column that is called like found_col is replaced.
     """
-    bounded_batches(documents)
     names = [c for c in documents.columns if c != found_col]
     given = numbered(documents.select(*[F.col(f"`{c}`") for c in names]))
     schema = given.withColumn("found", F.lit(None).cast("array<struct<kind:string,start:int,end:int>>")).schema
@@ -107,7 +106,7 @@ def secrets(documents: DataFrame, text_col: str = "text", redact: str | None = N
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, patterns = machine(), {k: re.compile(p) for k, p in PATTERNS.items()}
-        for b in batches:
+        for b in pieces(batches):
             texts = b.column(at).to_pylist()
             found = find(texts, automaton, patterns)
             columns = list(b.columns)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks
+from .common import chunks, pieces
 from .textops import U64, Words, mix, powers
 
 WIDTH, STRIDE = 16, 8
@@ -339,11 +339,10 @@ def apply(documents: DataFrame, model: dict, id_col: str = "doc_id", text_col: s
     """(id, score, predicted) of every document from its whole text."""
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             s = score(model, b.column("text").to_pylist())
             yield pa.record_batch([b.column("id"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["id", "score", "predicted"])
 
-    bounded_batches(documents)
     kind = dict(documents.dtypes)[id_col]
     out = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(rate, f"id {kind}, score double, predicted int")
     return out.withColumnRenamed("id", id_col)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut
+from .common import cut, pieces
 from .components import connected_components, roots
 
 #: Rows of a tile.
@@ -75,7 +75,6 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     precision is at least `least` (above 0).  Vectors that are null, empty, zero or hold null or non-finite numbers link
     with nothing.  Ids must be integers, unique and not null; component_id is the smallest that links reach.
     """
-    bounded_batches(vectors, rows=4096)
     kind, label = dict(vectors.dtypes)[id_col], dict(vectors.dtypes)[label_col]
     number = "float" if dict(vectors.dtypes)[vector_col] == "array<float>" else "double"  # computed in double precision either way
     given = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast(f"array<{number}>").alias("v"))
@@ -95,7 +94,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     reach = np.sqrt(max(0.0, 2 - 2 * least))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             ids, labels, dims = (b.column(c).to_pylist() for c in ("id", "label", "dim"))
             out, values = [], b.column("v").to_pylist()
             by: dict[tuple, list[int]] = {}

@@ -7,10 +7,11 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkmask.llm import decontam, html, neardup, secrets, vectors
+from sparkmask.llm import decontam, html, labelled_pages, neardup, secrets, vectors
 from sparkmask.llm.textops import ALNUM, SPACED, Words
 
 TEXT = st.text(alphabet=st.sampled_from("aAbZ09 \t\n\x0b.,-_éÉ\x85 漢𝒜"), max_size=40)
+PAGES_MODEL = html.learn(labelled_pages.pages(60))
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -32,10 +33,9 @@ def test_words_and_shingles(texts, size):
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=200))
 def test_pages_never_break(page):
-    weights = html.learn(html.PAGES)
-    out = html.extract(page, weights)
+    out = html.extract(page, PAGES_MODEL)
     assert out == out.strip() and "\n\n\n" not in out
-    assert html.extract(f"<p>{'word ' * 5}</p><nav>{page}", weights).startswith("word")
+    assert html.extract(f"<p>{'word ' * 5}</p><nav>{page}", PAGES_MODEL).startswith("word")
 
 
 @settings(max_examples=100, deadline=None)
