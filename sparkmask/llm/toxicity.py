@@ -1,9 +1,10 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
 A word enters as a learned vector of its own and as the scaled sum of the vectors of its character n-grams, so that
-unseen words with known beginnings count.  Windows of WIDTH words at every STRIDE cover a text to its end; a text's
-score is that of its worst window.  Labels belong to texts, so training looks for the window of each toxic text that
-bears the label: first by log-odds of words and n-grams, then by the network itself.
+unseen words with known beginnings count.  All windows of WIDTH words, one starting at every word that leaves room, are
+scored, and a text's score is that of its worst window; a shorter text is one window.  Labels belong to texts, so
+training looks for the window of each toxic text that bears the label: first by log-odds of words and n-grams, then by
+the network itself.
 """
 
 import zlib
@@ -17,11 +18,14 @@ from pyspark.sql import functions as F
 from .common import chunks, pieces
 from .textops import U64, Words, mix, powers
 
-WIDTH, STRIDE = 16, 8
+WIDTH = 16
+#: Words between the windows that training draws from; scoring takes all of them.
+TRAIN_STRIDE = 8
 #: Size of a word's vector, of the n-grams' sum, and of the state of either direction.
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
 BUCKETS = 1 << 16
-#: Labelled rows read for training and characters of such a row, at most.  Longer rows are scored but not learned from.
+#: Labelled rows taken for training, and characters of such a row, at most.  Longer rows are scored but not learned from,
+#: so that fewer rows may take part than are taken.
 TRAIN_ROWS, TRAIN_CHARS = 6_000, 20_000
 #: Steps of gradient descent a round, and windows a step: the cost of training doesn't depend on the input.
 STEPS, BATCH = 350, 128
@@ -29,8 +33,11 @@ STEPS, BATCH = 350, 128
 SUPPORT = 4
 CHUNK = 1 << 20
 
-_LETTERS = np.zeros(256, bool)
-_LETTERS[np.r_[0x61:0x7B, 0x80:0x100]] = True
+#: Windows whose states are held at once.
+BLOCK = 4096
+
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[np.r_[0x30:0x3A, 0x61:0x7B, 0x80:0x100]] = True
 _PREFIXES, _INNER = (3, 4, 5, 6, 7, 8), 4
 
 
@@ -38,13 +45,9 @@ class Lexicon:
     """Distinct words of some texts with the buckets of their n-grams, and the texts as indices into them."""
 
     def __init__(self, texts: list[str | None]):
-        w = Words([(t or "").lower() for t in texts], _LETTERS)
-        again = np.zeros(len(w.hash) + 1, bool)
-        again[1:-1] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
-        twice = np.flatnonzero(~(again[:-1] & np.concatenate([[False], again[:-2]])))  # a run of one word counts as two
-        self.first = np.searchsorted(twice, w.first)
-        _, at, index = np.unique(w.hash[twice], return_index=True, return_inverse=True)
-        at = twice[at]
+        w = Words([(t or "").lower() for t in texts], _IN_WORD)
+        self.first = w.first
+        _, at, index = np.unique(w.hash, return_index=True, return_inverse=True)
         self.index = index.astype(np.int32)
         self.word = (w.hash[at] >> U64(48)).astype(np.uint16)
         start, end = w.start[at], w.end[at]
@@ -76,12 +79,13 @@ class Lexicon:
             if len(has):
                 yield has, self.gram[self.gram_first[i] : self.gram_first[j]], self.gram_first[has] - self.gram_first[i]
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word index, whether there is a word, document) of all overlapping windows of texts that have words."""
+    def windows(self, stride: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word index, whether there is a word, document) of the windows at every `stride` words, the last ones of texts
+        included; a text of fewer words than WIDTH, but not of none, has one."""
         n = np.diff(self.first)
-        many = np.where(n > WIDTH, -(-(n - WIDTH) // STRIDE) + 1, (n > 0).astype(n.dtype))
+        many = np.where(n > WIDTH, -(-(n - WIDTH) // stride) + 1, (n > 0).astype(n.dtype))
         doc = np.repeat(np.arange(len(n)), many)
-        start = self.first[doc] + STRIDE * (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many))
+        start = self.first[doc] + stride * (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many))
         place = start[:, None] + np.arange(WIDTH)
         real = place < self.first[doc + 1][:, None]
         return self.index[np.minimum(place, max(0, len(self.index) - 1))] if len(doc) else place, real, doc
@@ -212,7 +216,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> dict:
         model["bias"] = np.float32(3 if len(y) and y[0] else -3)
         return model
     lexicon = _joined(texts)
-    index, real, doc = lexicon.windows()
+    index, real, doc = lexicon.windows(TRAIN_STRIDE)
     held = np.array([zlib.crc32(f"{seed}:{i}".encode()) % 5 == 0 for i in range(len(texts))])
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
         held[:] = False
@@ -239,12 +243,10 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> dict:
             chosen = np.concatenate([rng.choice(yes, BATCH // 2), rng.choice(no, BATCH // 4), rng.choice(hard, BATCH // 8), rng.choice(clean, BATCH // 8)])
             _step(model, lexicon, index[chosen], real[chosen], y[doc[chosen]].astype(np.float32), (words_state, chars_state), learned, first, second, step, rate)
         rank = _logits(model, inputs(model, lexicon), index, real)
-    at = np.flatnonzero(held[doc] if held.any() else np.ones(len(doc), bool))
-    worst = np.full(len(texts), -np.inf)
-    np.maximum.at(worst, doc[at], rank[at])
+    judged = np.flatnonzero(held if held.any() else np.ones(len(texts), bool))
+    worst = np.concatenate([worst_logits(model, [texts[k] for k in judged[i:j]]) for i, j in chunks([len(texts[k] or "") for k in judged], CHUNK)])
     seen = np.isfinite(worst)
-    model["cut"] = _best_cut(worst[seen], y[seen])
-    model["slope"] = 1.0
+    model["cut"] = _best_cut(worst[seen], y[judged][seen])
     return model
 
 
@@ -308,18 +310,75 @@ def _logits(model: dict, x: np.ndarray, index: np.ndarray, real: np.ndarray, blo
     return np.concatenate(out) if out else np.zeros(0, np.float32)
 
 
+def full_windows(model: dict, x: np.ndarray, sequence: np.ndarray) -> np.ndarray:
+    """Logits of the windows of WIDTH words that start at each word of a sequence but the last WIDTH - 1.
+
+    The same as `run` without masks: features stand in rows, so that every step works on whole blocks of windows, and
+    what the words give to the gates is read from one row of words that the windows share.
+    """
+    h, n = HIDDEN, len(sequence) - WIDTH + 1
+    logits = np.empty(max(0, n), np.float32)
+    halve = np.repeat(np.float32([0.5, 0.5, 1]), h)  # a logistic gate is half a tanh of half its input, plus a half
+    sides = [((x @ model["w"][d] + model["b"][d]) * halve, np.ascontiguousarray((model["u"][d] * halve).T)) for d in (0, 1)]
+    for i in range(0, n, BLOCK):
+        size = min(BLOCK, n - i)
+        words = sequence[i : i + size + WIDTH - 1]
+        parts = np.zeros((2, WIDTH, size), np.float32)  # attention and output of each step
+        for d, (given, u) in enumerate(sides):
+            from_word = np.ascontiguousarray(given[words].T)
+            heads = np.stack([model["attend"][d * h : (d + 1) * h], model["out"][d * h : (d + 1) * h]])
+            state, back, gates, new = (np.zeros((k * h, size), np.float32) for k in (1, 3, 2, 1))
+            for t in range(WIDTH) if d == 0 else range(WIDTH - 1, -1, -1):
+                g = from_word[:, t : t + size]
+                np.matmul(u, state, out=back)
+                np.add(g[: 2 * h], back[: 2 * h], out=gates)
+                np.tanh(gates, out=gates)
+                gates *= 0.5
+                gates += 0.5
+                np.multiply(gates[h:], back[2 * h :], out=new)
+                new += g[2 * h :]
+                np.tanh(new, out=new)
+                state -= new
+                state *= gates[:h]
+                state += new
+                parts[:, t] += heads @ state
+        e = parts[0]
+        e -= e.max(axis=0)
+        np.exp(e, out=e)
+        logits[i : i + size] = (e * parts[1]).sum(axis=0) / e.sum(axis=0) + model["bias"]
+    return logits
+
+
+def worst_logits(model: dict, texts: list[str | None]) -> np.ndarray:
+    """The highest logit among all windows of each text; minus infinity for a text without words."""
+    lexicon = Lexicon(texts)
+    out = np.full(len(texts), -np.inf)
+    if not len(lexicon.index):
+        return out
+    x, n = inputs(model, lexicon), np.diff(lexicon.first)
+    long = np.flatnonzero(n >= WIDTH)
+    if len(long):
+        doc = np.repeat(long, n[long])
+        at = lexicon.first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(n[long]) - n[long], n[long])
+        logits = full_windows(model, x, lexicon.index[at])
+        inside = np.flatnonzero(doc[: len(logits)] == doc[WIDTH - 1 :])  # a window lies in one text
+        first = np.flatnonzero(np.concatenate([[True], doc[inside][1:] != doc[inside][:-1]]))
+        out[doc[inside][first]] = np.maximum.reduceat(logits[inside], first)
+    short = np.flatnonzero((n > 0) & (n < WIDTH))
+    if len(short):
+        place = lexicon.first[short][:, None] + np.arange(WIDTH)
+        real = place < lexicon.first[short + 1][:, None]
+        out[short] = _logits(model, x, lexicon.index[np.minimum(place, len(lexicon.index) - 1)], real)
+    return out
+
+
 def score(model: dict, texts: list[str | None]) -> np.ndarray:
     """0 to 1 for each whole text; a text without words, empty or null gets 0."""
     out = np.zeros(len(texts))
     for i, j in chunks([len(t or "") for t in texts], CHUNK):
-        lexicon = Lexicon(texts[i:j])
-        index, real, doc = lexicon.windows()
-        if not len(doc):
-            continue
-        logits = _logits(model, inputs(model, lexicon), index, real)
-        at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        worst = np.maximum.reduceat(logits.astype(np.float64), at)
-        out[i + doc[at]] = sigmoid(np.clip(model["slope"] * (worst - model["cut"]), -30, 30))
+        worst = worst_logits(model, texts[i:j])
+        at = np.flatnonzero(np.isfinite(worst))
+        out[i + at] = sigmoid(np.clip(model["slope"] * (worst[at] - model["cut"]), -30, 30))
     return out
 
 
@@ -336,7 +395,11 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def apply(documents: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, predicted) of every document from its whole text."""
+    """(id, score, predicted) of every document row from its whole text.
+
+    Null, empty and wordless texts score 0.  A row with a null or repeated id is a row of the result; other columns,
+    whatever they are called, take no part.
+    """
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
