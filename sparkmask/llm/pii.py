@@ -9,6 +9,8 @@ patterns are.  Candidates next to a confident pattern become spans of the kind `
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkmask.functions.identifiers import column
+
 from .common import cut, dealt_anew
 
 #: Base kinds in the order that breaks ties.  Possessive forms and the test for the beginning of a run leave the matches
@@ -21,9 +23,10 @@ PATTERNS = {
 }
 #: What must occur in a text for a pattern to be tried.
 NEEDED = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-#: A candidate: six digits and more with letters and marks between them, not inside a longer token.
-CANDIDATE = r"(?<![A-Za-z0-9._%+@/-])(?:[A-Za-z]{1,5}[-#]?)?[0-9](?:[-./]?[0-9A-Za-z]| [0-9]){5,39}+(?![A-Za-z0-9@])"
-CANDIDATE_DIGITS = 6
+#: A candidate: a token of five characters and more, or several joined by spaces, that holds CANDIDATE_DIGITS digits; up
+#: to five letters may lead it.  It has no upper length, and whether it is an identifier is for its patterns to say.
+CANDIDATE = r"(?<![A-Za-z0-9._%+@/-])(?:[A-Za-z]{1,5}[-#]?)?[0-9](?:[-./]?[0-9A-Za-z]| [0-9]){4,}+(?![A-Za-z0-9@])"
+CANDIDATE_DIGITS = 5
 KIND = "ident"
 #: Rounds over the graph; least confidence of a pattern; least number of distinct believed instances behind it.
 ROUNDS, CONFIDENT, SUPPORT = 3, 0.8, 5
@@ -90,7 +93,7 @@ def _located(df: DataFrame, name: str, pattern: str, needed: str) -> DataFrame:
 
 def located(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, base, candidates) of every row: arrays of (kind, start, end, value, left, right)."""
-    df = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    df = documents.select(column(id_col).alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
     for kind, pattern in PATTERNS.items():
         df = _located(df, kind, pattern, NEEDED[kind])
     df = _located(df, KIND, CANDIDATE, "")
@@ -144,20 +147,21 @@ def personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id, spans) of every row: arrays of (kind, start, end) by start and kind, in code points, end exclusive.
 
     Null and empty texts have no spans.  Base kinds are what PATTERNS and their tests give; spans of the kind `ident`
-    come from patterns and never overlap a base span.  Ids must be unique; rows with a null id keep their base spans.
+    come from patterns and never overlap a base span.  Rows have a number of their own inside, so each keeps the spans of
+    its own text, whether its id is null, repeated or not; other columns, whatever they are called, take no part.
     """
-    found = cut(located(documents, id_col, text_col))
-    each = found.select("id", F.explode(F.concat(F.transform("base", lambda s: _instance(s, True)), F.transform("candidates", lambda s: _instance(s, False)))).alias("s"))
-    each = cut(each.select("id", "s.*").withColumn("patterns", lexical(F.col("left"), F.col("right"))).drop("left", "right"))
+    found = cut(located(documents, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    each = found.select("row", F.explode(F.concat(F.transform("base", lambda s: _instance(s, True)), F.transform("candidates", lambda s: _instance(s, False)))).alias("s"))
+    each = cut(each.select("row", "s.*").withColumn("patterns", lexical(F.col("left"), F.col("right"))).drop("left", "right"))
     patterns = confident_patterns(each.select("value", "seed", "patterns"))
-    new = each.where("not seed").select("id", "start", "end", F.explode("patterns").alias("pattern"))
-    new = new.join(dealt_anew(patterns), "pattern").groupBy("id", "start", "end").agg(F.max("confidence").alias("confidence"))
-    new = new.groupBy("id").agg(F.collect_list(F.struct(F.lit(KIND).alias("kind"), "start", "end")).alias("new"))
+    new = each.where("not seed").select("row", "start", "end", F.explode("patterns").alias("pattern"))
+    new = new.join(dealt_anew(patterns), "pattern").groupBy("row", "start", "end").agg(F.max("confidence").alias("confidence"))
+    new = new.groupBy("row").agg(F.collect_list(F.struct(F.lit(KIND).alias("kind"), "start", "end")).alias("new"))
     order = F.create_map(*[F.lit(x) for i, k in enumerate((*PATTERNS, KIND)) for x in (k, i)])
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     spans = F.concat(base, F.coalesce("new", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
     keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    out = found.select("id", "base").join(new, "id", "left")
+    out = found.select("row", "id", "base").join(new, "row", "left")
     return out.select(F.col("id").alias(id_col), F.transform(keyed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
 
 
