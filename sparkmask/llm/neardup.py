@@ -6,7 +6,8 @@ population count bounds the similarity of the pair; pairs that survive are confi
 
 No bucket is expanded into its pairs.  First equal sets become one representative.  Then each bucket compares its
 members with its best connected one, which settles every bucket whose members end up in one component.  What is left is
-compared in blocks of bounded size, across components alone, and gives at most one edge a member and block.
+compared in blocks of bounded size, across components alone: sketches first, the full sets of what they leave open
+second, and at most one edge a member and block comes out.
 """
 
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkmask.functions.identifiers import column
+
 from .common import broadcast_if_small, chunks, cut, dealt_anew, pieces
 from .components import connected_components, roots
 from .textops import U64, Words, constants, mix
@@ -25,8 +28,8 @@ SAMPLES = 120
 #: Probability with which a pair at the threshold may share no band.
 MISS = 1e-6
 SKETCH_WORDS = 8  # 512 bits
-#: Members of a block in the last comparison.
-BLOCK = 256
+#: Members of a block whose full sets are compared at once, and blocks whose sketches are.
+BLOCK, SKETCH_BLOCKS = 256, 16
 #: Ids of documents to be compared in full that are broadcast at most; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 CHUNK = 1 << 18
@@ -113,7 +116,7 @@ def signatures(documents: DataFrame, id_col: str, text_col: str, size: int, rows
             longs = pa.list_(pa.int64())
             yield pa.record_batch([b.column("id"), pa.array(n, pa.int64()), pa.array(whole_a, pa.int64()), pa.array(whole_b, pa.int64()), pa.array(names, longs), pa.array(sketches, longs)], ["id", "n", "set_a", "set_b", "bands", "sketch"])
 
-    given = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    given = documents.select(column(id_col).alias("id"), column(text_col).alias("text"))
     return given.mapInArrow(sign, f"id {kind}, n long, set_a long, set_b long, bands array<long>, sketch array<long>")
 
 
@@ -153,7 +156,7 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, id_col: str, text_col: st
 def _sets(documents: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(id, set) of the documents with these ids."""
     kind = dict(documents.dtypes)[id_col]
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = documents.select(column(id_col).alias("id"), column(text_col).alias("text"))
     texts = texts.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,51 +182,110 @@ def common_sizes(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _across(members: DataFrame, percent: int, kind: str) -> DataFrame:
+def _across(members: DataFrame, documents: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
     """Edges (a, b) that join what is linked among a bucket's members in different components.
 
-    members: (bucket, id, component, n, sketch, set).  A bucket of m members is cut into ceil(m / BLOCK) blocks by the
-    ids' hash, and a task compares two blocks: sketches first, full sets of what they let pass, and at most one edge a
-    member comes out.
+    members: (bucket, id, component, n, sketch).  A bucket of m members is cut into ceil(m / BLOCK) blocks by the ids'
+    hash.  First a task compares the sketches of SKETCH_BLOCKS times as many members with as many others, and names the
+    members of each pair of blocks that sketches don't tell apart.  Only these members' sets are fetched, and a second
+    task confirms a pair of blocks on them, with at most one edge a member.
     """
-    most = most_odd_bits(percent / 100)
+    most, kind = most_odd_bits(percent / 100), dict(members.dtypes)["id"]
     blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(dealt_anew(blocks), "bucket").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = members.join(dealt_anew(blocks), "bucket").withColumn("part", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    dealt = dealt.withColumn("own", (F.col("part") / SKETCH_BLOCKS).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), ((F.col("blocks") - 1) / SKETCH_BLOCKS).cast("int"))))
     dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
 
+    def may_link(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
+        sx, sy = (np.array(p["sketch"].tolist(), np.int64).view(U64) for p in (x, y))
+        nx, ny, cx, cy = (p[c].to_numpy() for c in ("n", "component") for p in (x, y))
+        out = np.stack([np.bitwise_count(sy ^ s).sum(axis=1) <= most for s in sx])
+        return out & (cx[:, None] != cy) & (100 * np.minimum(nx[:, None], ny) >= percent * np.maximum(nx[:, None], ny))
+
+    columns = ["bucket", "part", "id", "component", "n", "sketch"]
+
+    def open_parts(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pdf.iloc[:0][columns].assign(low=[], high=[])]
+        x, y = (pdf[pdf["own"] == pdf[c].iloc[0]].sort_values("part") for c in ("low", "high"))
+        if len(x) and len(y):
+            may = may_link(x, y)
+            px, py = (p["part"].to_numpy() for p in (x, y))
+            for p in np.unique(px):
+                i = slice(*np.searchsorted(px, [p, p + 1]))
+                for q in np.unique(py[may[i].any(axis=0)]):
+                    j = slice(*np.searchsorted(py, [q, q + 1]))
+                    if p <= q:
+                        one = may[i, j]
+                        rows = [x.iloc[i][one.any(axis=1)]] + ([y.iloc[j][one.any(axis=0)]] if p < q else [])
+                        out += [r[columns].assign(low=p, high=q) for r in rows]
+        return pd.concat(out)
+
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        nothing = pd.DataFrame({"a": [], "b": []})
-        x, y = pdf[pdf["own"] == pdf["low"].iloc[0]], pdf[pdf["own"] == pdf["high"].iloc[0]]
+        x, y = (pdf[pdf["part"] == pdf[c].iloc[0]] for c in ("low", "high"))
         if not len(x) or not len(y):
-            return nothing
-        sx, sy = (np.array(p["sketch"].tolist(), np.int64).view(U64) for p in (x, y))
-        nx, ny, cx, cy, ix, iy = (p[c].to_numpy() for c in ("n", "component", "id") for p in (x, y))
-        may = np.stack([np.bitwise_count(sy ^ s).sum(axis=1) <= most for s in sx])
-        may &= (cx[:, None] != cy) & (100 * np.minimum(nx[:, None], ny) >= percent * np.maximum(nx[:, None], ny))
-        i, j = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
-        if not len(i):
-            return nothing
-        common = common_sizes(*([np.frombuffer(p["set"].iloc[k], U64) for k in at] for p, at in ((x, i), (y, j))))
-        linked = may[np.ix_(i, j)] & (100 * common >= percent * (nx[i][:, None] + ny[j] - common))
-        a, b = np.nonzero(linked)
-        ids, at = np.unique(np.concatenate([cx[i][a], cy[j][b]]), return_inverse=True)
+            return pd.DataFrame({"a": [], "b": []})
+        may = may_link(x, y)
+        nx, ny, cx, cy = (p[c].to_numpy() for c in ("n", "component") for p in (x, y))
+        common = common_sizes(*([np.frombuffer(s, U64) for s in p["set"]] for p in (x, y)))
+        a, b = np.nonzero(may & (100 * common >= percent * (nx[:, None] + ny - common)))
+        ids, at = np.unique(np.concatenate([cx[a], cy[b]]), return_inverse=True)
         root = roots(len(ids), at[: len(a)], at[len(a) :])
         return pd.DataFrame({"a": ids, "b": ids[root]})
 
-    dealt = dealt.select("bucket", "low", "high", "own", "id", "component", "n", "sketch", "set")
-    dealt = dealt.repartition("bucket", "low", "high")  # else all blocks of a bucket would stay in one task
-    return dealt.groupBy("bucket", "low", "high").applyInPandas(compare, f"a {kind}, b {kind}").where("a <> b")
+    # dealt by bucket and blocks, else all blocks of a bucket would stay in one task
+    dealt = dealt.select(*columns, "own", "low", "high").repartition("bucket", "low", "high")
+    shape = f"bucket long, part int, id {kind}, component {kind}, n long, sketch array<long>, low int, high int"
+    found = cut(dealt.groupBy("bucket", "low", "high").applyInPandas(open_parts, shape))
+    full = _sets(documents, cut(found.select("id").distinct()), id_col, text_col, size)
+    found = found.join(full, "id").repartition("bucket", "low", "high")
+    return found.groupBy("bucket", "low", "high").applyInPandas(compare, f"a {kind}, b {kind}").where("a <> b")
+
+
+def _unnamed(documents: DataFrame, id_col: str) -> bool:
+    """Whether any id is null or repeated."""
+    ids = documents.select(column(id_col).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    return not ids.where("id is null or n > 1").isEmpty()
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every document.
+    """(id, n_shingles, component_id, kept) of every document row.
 
     Documents link when 100 * intersection >= percent * union of their sets of `size`-word shingles; component_id is
-    the smallest id that links reach, and that document is kept.  A shorter text is one shingle.  Null and empty texts
-    and texts of white space link with nothing.  Ids must be integers, unique and not null.
+    the smallest id that links reach, and one row of each component is kept, the one of that id.  A shorter text is one
+    shingle.  Null and empty texts and texts of white space link with nothing.  Ids are integers.  Where some are null or
+    repeated, rows are numbered first: a null id is never the smallest unless there is no other, and of rows that share
+    the smallest id the first is kept.  Other columns, whatever they are called, take no part.
     """
-    kind = dict(documents.dtypes)[id_col]
+    if not _unnamed(documents, id_col):
+        out = _components(documents, id_col, text_col, size, percent)
+        return out.withColumn("kept", F.col("id") == F.col("component_id")).withColumnRenamed("id", id_col)
+    rows = cut(documents.select(column(id_col).alias("id"), column(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id()))
+    out = _firsts(rows, _components(rows, "row", "text", size, percent))
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"))
+
+
+def _firsts(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(row, id, n_shingles, first) of numbered rows, where first is the (unnamed, id, row) that leads a component."""
+    found = cut(found.withColumnRenamed("id", "row").join(rows.select("row", "id"), "row"))
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")).alias("first"))
+    return found.join(dealt_anew(first), "component_id")
+
+
+def keep(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near duplicates, the one that near_duplicates keeps, with all its columns."""
+    if not _unnamed(documents, id_col):
+        copies = _components(documents, id_col, text_col, size, percent).where("id <> component_id").select(F.col("id").alias("_copy"))
+        return documents.join(broadcast_if_small(cut(copies), BROADCAST_IDS), column(id_col) == F.col("_copy"), "left_anti")
+    number = next(n for n in (f"_row{i}" for i in range(len(documents.columns) + 1)) if n not in documents.columns)
+    rows = cut(documents.withColumn(number, F.monotonically_increasing_id()))
+    plain = rows.select(F.col(number).alias("row"), column(id_col).alias("id"), column(text_col).alias("text"))
+    copies = _firsts(plain, _components(plain, "row", "text", size, percent)).where("row <> first.row").select(F.col("row").alias("_copy"))
+    return rows.join(broadcast_if_small(cut(copies), BROADCAST_IDS), F.col(number) == F.col("_copy"), "left_anti").drop(number)
+
+
+def _components(documents: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """(id, n_shingles, component_id) of documents whose ids are unique and not null."""
     signed = cut(signatures(documents, id_col, text_col, size, band_rows(percent / 100)))
     sets = signed.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("id").alias("first"))
     sets = cut(sets)
@@ -255,13 +317,11 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     open_ = about_bucket.where("low <> high").groupBy("n", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket")
     rest = cut(rest.where("id <> leader").join(dealt_anew(open_), "bucket", "left_semi"))
     if not rest.isEmpty():
-        full = _sets(documents, cut(rest.select("id").distinct()), id_col, text_col, size)
-        more = cut(_across(rest.join(about, "id").join(full, "id"), percent, kind))
+        more = cut(_across(rest.join(about, "id"), documents, percent, size, id_col, text_col))
         if not more.isEmpty():
             labels = connected_components(edges.union(more))
 
     sets = sets.join(labels.withColumnRenamed("id", "first"), "first", "left")
     sets = dealt_anew(sets.select("set_a", "set_b", "n", F.coalesce("component", "first").alias("component")))
     out = signed.select("id", "n", "set_a", "set_b").join(sets, ["set_a", "set_b", "n"], "left")
-    out = out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.col("id") == F.col("component_id")).withColumnRenamed("id", id_col)
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
