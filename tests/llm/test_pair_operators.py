@@ -61,15 +61,15 @@ def test_near_duplicates_equal_all_pairs(spark, size, percent):
 def test_the_last_comparison_alone_finds_all_links(spark, monkeypatch):
     """All texts in one bucket, cut into small blocks."""
     monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "SKETCH_BLOCKS", 3)
     monkeypatch.setattr(neardup, "COLUMNS", 64)
     texts = near_texts(20)
     rows = []
     for i, s in enumerate(neardup.shingle_sets(texts, 3)):
         if len(s):
-            sketch = neardup.odd_sketch(neardup.minhash(s)).view(np.int64).tolist()
-            rows.append((1, i, i, len(s), sketch, bytearray(s.tobytes())))
-    members = spark.createDataFrame(rows, "bucket long, id long, component long, n long, sketch array<long>, set binary")
-    edges = neardup._across(members, 85, "bigint")
+            rows.append((1, i, i, len(s), neardup.odd_sketch(neardup.minhash(s)).view(np.int64).tolist()))
+    members = spark.createDataFrame(rows, "bucket long, id long, component long, n long, sketch array<long>")
+    edges = neardup._across(members, docs(spark, texts), 85, 3, "doc_id", "text")
     assert edges.count() <= len(rows) * (1 + len(rows) // 7)
     got = {r["id"]: r["component"] for r in connected_components(edges).collect()}
     assert [got.get(i, i) for i in range(len(texts))] == [c for _, c in plain_near(texts, 3, 85)]
@@ -150,6 +150,7 @@ def test_vectors_equal_all_pairs(spark, monkeypatch, tile):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("cell", F.lit(1)).withColumn("id", F.lit("clash"))
     out = vectors.near_duplicates(df).orderBy("vec_id").collect()
     assert [(r["n_links"], r["component_id"]) for r in out] == plain_vectors(rows)
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out)
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -175,3 +176,57 @@ def test_vectors_of_repeated_ids_are_a_row_each(spark):
     rows = [(1, "a", [1.0, 0.0]), (1, "a", [1.0, 0.0]), (2, "a", [0.0, 1.0]), (2, "b", [0.0, 1.0]), (3, "a", None), (3, "a", None)]
     out = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>")).collect()
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out) == [(1, 1, 1), (1, 1, 1), (2, 0, 2), (2, 0, 2), (3, 0, 3), (3, 0, 3)]
+
+
+def test_rows_whose_ids_are_null_or_repeated(spark):
+    text, other = "one two three four five six seven", "words of quite another text than this one here"
+    rows = [(None, text), (None, text), (7, text), (7, text), (9, text), (None, other), (None, None), (3, None), (3, ""), (None, other)]
+    df = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], "doc_id long, text string, row string, id int, `_row0` string")
+    out = neardup.near_duplicates(df).collect()
+    seen = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in out), key=repr)
+    expected = [(None, 7, False)] * 2 + [(7, 7, True), (7, 7, False), (9, 7, False), (None, None, True), (None, None, False), (None, None, True), (3, 3, True), (3, 3, True)]
+    assert seen == sorted(expected, key=repr)
+    kept = neardup.keep(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(7, text), (None, other), (None, None), (3, None), (3, "")], key=repr)
+
+
+def test_vectors_whose_ids_are_null_or_repeated(spark):
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [(None, a), (None, a), (7, a), (7, [2.0, 0.001]), (9, a), (None, b), (None, b), (None, None), (3, None), (3, b)]
+    df = spark.createDataFrame([(i, v, 1, "x", "y") for i, v in rows], "vec_id long, embedding array<double>, label int, row string, class string")
+    out = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_duplicates(df).collect()), key=repr)
+    expected = [(None, 4, 7, False)] * 2 + [(9, 4, 7, False), (None, 2, 3, False), (None, 2, 3, False), (3, 2, 3, True), (None, 0, None, True), (3, 0, 3, True)]
+    assert [r for r in out if r[0] != 7] == sorted(expected, key=repr)
+    assert sorted(r[3] for r in out if r[0] == 7) == [False, True] and all(r[1:3] == (4, 7) for r in out if r[0] == 7)
+
+
+def test_nothing_stays_in_the_checkpoint_folder(spark):
+    import gc
+    import pathlib
+    import time
+
+    folder = pathlib.Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    files = lambda: {p for p in folder.rglob("rdd-*") if p.is_dir() and any(p.iterdir())}
+    setting = spark.sparkContext._jsc.sc().conf().get("spark.cleaner.referenceTracking.cleanCheckpoints", "false")
+    gc.collect()
+    before = files()
+    assert neardup.near_duplicates(docs(spark, near_texts(4))).count() > 0
+    made = files() - before
+    assert made
+    for _ in range(60):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        if not made & files():
+            break
+        time.sleep(0.5)
+    assert not made & files()
+    assert spark.sparkContext._jsc.sc().conf().get("spark.cleaner.referenceTracking.cleanCheckpoints", "false") == setting
+
+
+def test_settings_of_the_session_stay(spark):
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.shuffle.partitions"]
+    before = [spark.conf.get(n) for n in names]
+    neardup.near_duplicates(docs(spark, ["a b c"])).count()
+    vectors.near_duplicates(spark.createDataFrame([(7, [1.0], 1)], "vec_id long, embedding array<float>, label int")).count()
+    assert [spark.conf.get(n) for n in names] == before
