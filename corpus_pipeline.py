@@ -4,57 +4,39 @@ Each stage takes (spark, docs, sf_dir) and returns documents with their columns;
 probability.  Stages work on whatever the one before kept, so models and statistics follow it.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkmask.functions.identifiers import column
 from sparkmask.llm import decontam, mixing, neardup, quality, secrets
-from sparkmask.llm.common import broadcast_if_small, cut, dealt_anew, stable_bucket, table
+from sparkmask.llm.common import cut, stable_bucket, table
 from sparkmask.llm.queries import MIX_POWERS, QUALITY_CUT
-
-#: Ids of documents to be dropped that are broadcast at most; beyond, they are joined by shuffle.
-BROADCAST_IDS = 1_000_000
-
-
-def _without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs but for those whose key is in ids; a null key is in none."""
-    ids = broadcast_if_small(cut(ids.toDF("_dropped")), BROADCAST_IDS)
-    return docs.join(ids, docs[key] == ids["_dropped"], "left_anti")
-
+from sparkmask.sources.shared import shared_folder
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go, each row by its own text, a null one as an empty one."""
     labels = table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(F.coalesce(stable_bucket(F.col("doc_id"), 4) != 2, F.lit(False))), QUALITY_CUT)
     return quality.keep(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) the row with the smallest id stays, a null id last."""
-    unnamed = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1")
-    if unnamed.isEmpty():
-        return _without(docs, neardup.near_duplicates(docs).where("not kept").select("doc_id"))
-    # null and repeated ids name no row, so rows get numbers
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = neardup.near_duplicates(rows, id_col="_row").select("_row", "component_id")
-    found = cut(found.join(rows.select("_row", "doc_id"), "_row"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row"))["_row"]
-    first = found.groupBy("component_id").agg(first.alias("_first"))
-    copies = found.join(dealt_anew(first), "component_id").where("_row <> _first")
-    return _without(rows, copies.select("_row"), "_row").drop("_row")
+    """Of each group of near duplicates (five words, similarity 0.8) the row with the smallest id stays, a null id last;
+    texts that are null or without words are in no group and stay."""
+    return neardup.keep(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go, each row by its own text."""
-    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(f"_{i}") for i, c in enumerate(docs.columns)])
+    """Documents that hold a window of a benchmark item go, each row by its own text; null texts hold none and stay."""
+    row = F.struct(*[column(c).alias(f"_{i}") for i, c in enumerate(docs.columns)])
     found = decontam.contamination(docs.select(row.alias("_row"), "text"), table(spark, sf_dir, "benchmark"), id_col="_row")
     return found.where("n_hit = 0").select(*[F.col(f"_row._{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the text; n_chars counts what is left."""
+    """Secrets are replaced in the text; n_chars counts what is left.  Every row stays, and a null text stays null."""
     out = secrets.secrets(docs, redact="[secret]", found_col="_secrets").drop("_secrets")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
@@ -77,15 +59,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared checkpoint folder and read again."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpus-")
-    folder = f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
+    """All stages over documents; each but the last is written to the shared folder and read again.
+
+    The result is a checkpoint, so that the stages' files can go before it is read.
+    """
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
-        if k:
-            old = jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
-            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for k, (name, stage) in enumerate(STAGES[:-1]):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:
+                files.delete(path(f"{folder}/{k - 1}-{STAGES[k - 1][0]}"), True)
+        return cut(STAGES[-1][1](spark, docs, sf_dir))
+    finally:
+        files.delete(path(folder), True)
