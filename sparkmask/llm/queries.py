@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, html, licenses, mixing, neardup, pii, quality, secrets, toxicity, vectors
-from .common import stable_bucket, table
+from .common import cut, stable_bucket, table
 
 TOXIC_CUT, QUALITY_CUT = 0.5, 0.7
 
@@ -66,14 +66,31 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Powers of the present token shares that the mixture aims at.
-MIX_POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+#: Target shares of tokens by language and topic, and 0 to even out sources.
+MIX_TARGETS = {
+    "source": 0.0,
+    "lang": {"en": 0.55, "fr": 0.16, "de": 0.16, "es": 0.13},
+    "topic": {"license": 0.03, "contact": 0.04, "code": 0.10, "prose": 0.83},
+}
+
+
+def mix_targets(spark: SparkSession) -> dict:
+    """MIX_TARGETS as tables (key, target) and powers."""
+    return {m: spark.createDataFrame(list(t.items()), "key string, target double") if isinstance(t, dict) else t for m, t in MIX_TARGETS.items()}
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling decision for every document: (doc_id, source, lang, topic, n_tokens, probability, kept)."""
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_POWERS)
-    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
+    return mixing.sampled(table(spark, sf_dir, "documents"), mix_targets(spark))
+
+
+def mixing_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How near the raked weights of op8_mixing come to their targets: (margin, key, target, reached)."""
+    given = mixing.counted(table(spark, sf_dir, "documents"))
+    cells = cut(given.groupBy(*mixing.MARGINS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
+    targets = {m: cut(mixing.shares(cells, m, w)) for m, w in mix_targets(spark).items()}
+    found = mixing.gaps(mixing.rake(cells, targets, mixing.BUDGET), targets)
+    return found.select("margin", "key", F.round("target", 7).alias("target"), F.round("reached", 7).alias("reached"))
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
     "op8_mixing": op8_mixing,
+    "mixing_margins": mixing_margins,
     "op9_html": op9_html,
     "op10_secrets": op10_secrets,
 }
@@ -120,37 +138,56 @@ reached(id, component) AS (
 _WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 
-def _mixing_sql(documents: str) -> str:
-    """The raking of op8, with every round and margin spelt out."""
+def _raking_sql(documents: str) -> str:
+    """The cells, targets and raked weights of op8, round by round."""
     tests = " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{t}'" for t, p in mixing.TOPICS.items() if p)
     parts = [
         f"given AS (SELECT doc_id, source, lang, CASE {tests} ELSE '{list(mixing.TOPICS)[-1]}' END AS topic, "
         rf"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM {documents})",
-        "cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM given GROUP BY ALL HAVING sum(n_tokens) > 0)",
+        "cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM given GROUP BY ALL HAVING sum(n_tokens) > 0)",
     ]
-    for m, p in MIX_POWERS.items():
-        parts.append(f"target_{m} AS (SELECT {m} AS key, t / sum(t) OVER () AS target FROM (SELECT {m}, pow(sum(tokens), {p}) AS t FROM cells GROUP BY ALL))")
-    last = "(SELECT *, CAST(tokens AS DOUBLE) AS weight FROM cells)"
-    for k in range(mixing.ROUNDS):
-        for m in MIX_POWERS:
-            parts.append(
-                f"raked_{k}_{m} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, c.weight * (t.target / s.total) AS weight FROM {last} c "
-                f"JOIN (SELECT {m} AS key, sum(weight) AS total FROM {last} GROUP BY ALL) s ON s.key IS NOT DISTINCT FROM c.{m} "
-                f"JOIN target_{m} t ON t.key IS NOT DISTINCT FROM c.{m})"
-            )
-            last = f"raked_{k}_{m}"
+    for m, wanted in MIX_TARGETS.items():
+        sums = f"(SELECT {m} AS key, sum(tokens) AS t FROM cells GROUP BY ALL)"
+        share = f"pow(t, {wanted})"
+        if isinstance(wanted, dict):
+            named = ", ".join(f"('{k}', {v})" for k, v in wanted.items())
+            sums = f"(SELECT s.*, n.target AS named FROM {sums} s LEFT JOIN (VALUES {named}) AS n(key, target) ON n.key IS NOT DISTINCT FROM s.key)"
+            share = f"coalesce(named, {max(0.0, 1 - sum(wanted.values()))} * t / (sum(t) FILTER (named IS NULL) OVER ()))"
+        parts.append(f"target_{m} AS MATERIALIZED (SELECT key, share / sum(share) OVER () AS target FROM (SELECT key, {share} AS share FROM {sums}))")
+    joins = " ".join(f"LEFT JOIN target_{m} ON target_{m}.key IS NOT DISTINCT FROM c.{m}" for m in MIX_TARGETS)
+    wants = ", ".join(f"target_{m}.target AS want_{m}" for m in MIX_TARGETS)
+    start = f"SELECT 0 AS round, c.*, tokens / ({mixing.BUDGET} * sum(tokens) OVER ()) AS cap, {wants}, CAST(tokens AS DOUBLE) AS weight FROM cells c {joins}"
+    step = "(SELECT * FROM raked)"
+    for m in MIX_TARGETS:
+        step = f"(SELECT * REPLACE (least(cap, weight * (want_{m} / sum(weight) OVER (PARTITION BY {m}))) AS weight) FROM {step})"
+    gap = "greatest(" + ", ".join(f"abs(sum(weight) OVER (PARTITION BY {m}) - want_{m})" for m in MIX_TARGETS) + ")"
+    rows = "round, source, lang, topic, tokens, cap, " + ", ".join(f"want_{m}" for m in MIX_TARGETS) + ", weight"
+    going = f"round < {mixing.ROUNDS} AND (round % {mixing.CHECKED} <> 0 OR far > {mixing.TOLERANCE})"
     parts.append(
-        f"rates AS (SELECT *, round(least(1.0, weight * {mixing.BUDGET} * sum(tokens) OVER () / tokens), 9) AS rate FROM {last})"
+        f"raked AS (SELECT *, 1.0::DOUBLE AS far FROM ({start}) UNION ALL "
+        f"SELECT {rows}, max(gap) OVER () AS far FROM (SELECT * REPLACE (round + 1 AS round), {gap} AS gap FROM {step} WHERE {going}))"
     )
+    parts.append("final AS MATERIALIZED (SELECT * FROM raked WHERE round = (SELECT max(round) FROM raked))")
+    return f"WITH RECURSIVE {', '.join(parts)}"
+
+
+def _mixing_sql(documents: str) -> str:
+    """The decisions of op8."""
     same = " AND ".join(f"r.{m} IS NOT DISTINCT FROM g.{m}" for m in mixing.MARGINS)
+    rate = f"SELECT *, round(least(1.0, weight * {mixing.BUDGET} * sum(tokens) OVER () / tokens), 9) AS rate FROM final"
     return (
-        f"WITH {', '.join(parts)} SELECT doc_id, g.source, g.lang, g.topic, n_tokens, probability, "
+        f"{_raking_sql(documents)} SELECT doc_id, g.source, g.lang, g.topic, n_tokens, probability, "
         "CAST('0x' || substr(sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 < probability AS kept "
         "FROM (SELECT g.*, CASE WHEN n_tokens > 0 THEN coalesce(rate, 0.0) ELSE 0.0 END AS probability "
-        f"FROM given g LEFT JOIN rates r ON {same}) g"
+        f"FROM given g LEFT JOIN ({rate}) r ON {same}) g"
     )
 
 
+def _margins_sql(documents: str) -> str:
+    each = " UNION ALL ".join(f"SELECT '{m}' AS margin, key, round(target, 7) AS target, round(coalesce(sum(weight), 0.0), 7) AS reached FROM target_{m} LEFT JOIN final ON {m} IS NOT DISTINCT FROM key GROUP BY key, target" for m in MIX_TARGETS)
+    return f"{_raking_sql(documents)} {each}"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_minhash": rf"""
 WITH RECURSIVE texts AS (
@@ -214,4 +251,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM texts LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """,
     "op8_mixing": _mixing_sql("documents"),
+    "mixing_margins": _margins_sql("documents"),
 }

@@ -58,6 +58,35 @@ def test_rows_without_ids_are_rows(spark, models, name):
     assert operators(spark, models)[name](df).count() == 2 * len(ODD)
 
 
+@pytest.mark.parametrize("name", ["pii", "neardup", "mixing"])
+def test_rows_with_null_and_repeated_ids_are_rows(spark, models, name):
+    df = odd(spark).withColumn("doc_id", F.when(F.col("doc_id") > 5, F.col("doc_id") % 4))
+    out = operators(spark, models)[name](df)
+    assert out.count() == 2 * len(ODD) and sorted(out.select("doc_id").collect(), key=repr) == sorted(df.select("doc_id").collect(), key=repr)
+
+
+def test_notices_of_null_and_repeated_ids_and_of_long_texts(spark):
+    notice = "Released under the MIT License."
+    long = "words of a long text without end " * 30_000
+    rows = [(None, notice), (None, notice), (1, notice), (1, f"{long}. {notice} {long}"), (2, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("own"))
+    out = licenses.license_blocks(df).collect()
+    assert sorted(((r["doc_id"], r["license"], r["exact"]) for r in out), key=repr) == sorted([(None, "MIT", True)] * 2 + [(1, "MIT", True)] * 2, key=repr)
+    assert {r["start"] for r in out} == {0, len(long) + 2}
+
+
+def test_notices_that_tie_are_told_once(spark):
+    df = spark.createDataFrame([(1, "Licensed under the MIT License. Licensed under the MIT License.")], "doc_id long, text string")
+    out = licenses.license_blocks(df).collect()
+    assert [(r["license"], r["n_words"]) for r in out] == [("MIT", 5)] * 2
+
+
+def test_pages_with_null_and_repeated_ids(spark):
+    rows = [(None, "<p>one page</p>"), (None, "<p>two pages</p>"), (1, "<p>one page</p>"), (1, "<p>one page</p>")]
+    out = html.article_text(spark.createDataFrame(rows, "page_id long, html string")).collect()
+    assert sorted(((r["page_id"], r["text"]) for r in out), key=repr) == sorted([(i, t[3:-4]) for i, t in rows], key=repr)
+
+
 def test_repeated_texts_score_alike(spark, models):
     for name in ("toxicity", "quality"):
         got = {r["doc_id"]: r["score"] for r in operators(spark, models)[name](odd(spark)).collect()}

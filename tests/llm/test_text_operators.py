@@ -286,7 +286,7 @@ def test_articles_of_all_pages(spark):
 def test_raked_margins_meet_their_targets(spark):
     cells = spark.createDataFrame([(s, l, t, 10 + 7 * i + 3 * j * i + k) for i, s in enumerate("abc") for j, l in enumerate(["en", None]) for k, t in enumerate("xy")], "source string, lang string, topic string, tokens long")
     targets = {"source": [("a", 0.5), ("b", 0.3), ("c", 0.2)], "lang": [("en", 0.6), (None, 0.4)], "topic": [("x", 0.7), ("y", 0.3)]}
-    raked = mixing.rake(cells, {m: spark.createDataFrame(t, "key string, target double") for m, t in targets.items()}, 20)
+    raked = mixing.rake(cells, {m: spark.createDataFrame(t, "key string, target double") for m, t in targets.items()}, rounds=20)
     for m, t in targets.items():
         got = dict(raked.groupBy(m).agg(F.sum("weight")).collect())
         assert all(abs(got[k] - v) < 1e-9 for k, v in t)
@@ -294,13 +294,34 @@ def test_raked_margins_meet_their_targets(spark):
 
 def test_mixing_keeps_rows_and_handles_odd_ones(spark):
     df = docs(spark, ODD + ["some prose text"] * 200).withColumn("kept", F.lit("clash"))
-    out = mixing.mix(df, queries.MIX_POWERS)
+    out = mixing.mix(df, queries.mix_targets(spark))
     assert out.count() == len(ODD) + 200
     empty = out.where("n_tokens = 0").collect()
     assert {r["doc_id"] for r in empty} == {0, 1, 2} and all(r["probability"] == 0 and not r["kept"] for r in empty)
     tokens, kept = out.agg(F.sum("n_tokens"), F.sum(F.when(F.col("kept"), F.col("n_tokens")))).first()
-    assert mixing.mix(df.limit(0), queries.MIX_POWERS).count() == 0
-    assert rows_of(out) == rows_of(mixing.mix(df.repartition(7), queries.MIX_POWERS)) and kept <= tokens
+    assert mixing.mix(df.limit(0), queries.mix_targets(spark)).count() == 0
+    assert rows_of(out) == rows_of(mixing.mix(df.repartition(7), queries.mix_targets(spark))) and kept <= tokens
+
+
+def test_targets_from_a_table(spark):
+    cells = spark.createDataFrame([("a", 60), ("b", 30), ("c", 10), (None, 0)], "lang string, tokens long")
+    wanted = lambda rows: dict(mixing.shares(cells, "lang", spark.createDataFrame(rows, "key string, target double")).collect())
+    assert wanted([("a", 0.2), ("b", 0.8)]) == pytest.approx({"a": 0.2, "b": 0.8, "c": 0})
+    assert wanted([("a", 0.2)]) == pytest.approx({"a": 0.2, "b": 0.6, "c": 0.2})
+    assert wanted([("a", 0.2), ("x", 0.4), ("b", 0.4)]) == pytest.approx({"a": 1 / 3, "b": 2 / 3, "c": 0})
+    assert dict(mixing.shares(cells, "lang", 0.0).collect()) == pytest.approx({"a": 1 / 3, "b": 1 / 3, "c": 1 / 3})
+
+
+def test_cells_give_no_more_than_they_have(spark):
+    """What a capped cell can't give comes from the margins' other cells, until the margins are met."""
+    rows = [(s, l, t, n) for s, l, t, n in [("a", "en", "x", 400), ("a", "de", "x", 60), ("b", "en", "x", 300), ("b", "de", "x", 200), ("a", "en", "y", 30), ("b", "de", "y", 10)]]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    targets = {"lang": [("en", 0.55), ("de", 0.45)], "source": [("a", 0.5), ("b", 0.5)], "topic": [("x", 0.93), ("y", 0.07)]}
+    targets = {m: spark.createDataFrame(t, "key string, target double") for m, t in targets.items()}
+    raked = mixing.rake(cells, targets, budget=0.5).cache()
+    assert all(r["weight"] * 0.5 * 1000 <= r["tokens"] + 1e-9 for r in raked.collect())
+    assert any(abs(r["weight"] * 0.5 * 1000 - r["tokens"]) < 1e-9 for r in raked.collect())
+    assert all(abs(r["target"] - r["reached"]) <= mixing.TOLERANCE for r in mixing.gaps(raked, targets).collect())
 
 
 def rows_of(df):
