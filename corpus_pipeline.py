@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkmask.functions.identifiers import column
 from sparkmask.llm import decontam, mixing, neardup, quality, secrets
 from sparkmask.llm.common import cut, stable_bucket, table
-from sparkmask.llm.queries import MIX_POWERS, QUALITY_CUT
+from sparkmask.llm.queries import QUALITY_CUT, mix_targets
 from sparkmask.sources.shared import shared_folder
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled so that tokens of sources, languages and topics approach their targets."""
-    return mixing.mix(docs, MIX_POWERS).where("kept").drop("kept")
+    return mixing.mix(docs, mix_targets(spark)).where("kept").drop("kept")
 
 
 STAGES = [
