@@ -90,9 +90,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     usable = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     key = F.transform("v", lambda x: x + F.lit(0.0).cast(number))  # -0.0 equals 0.0
     good = given.where(usable).withColumn("row", F.monotonically_increasing_id())
-    good = cut(good.select("id", "row", "label", F.size("v").alias("dim"), key.alias("v")))
+    good = good.select("id", "row", "label", F.size("v").alias("dim"), key.alias("v"))
+    # equal vectors are told by 128 bits of hash, so that joins of rows with their class move no vectors
+    hashes = [F.xxhash64(F.lit(seed), "v").alias(f"h{seed}") for seed in (1, 2)]
+    good = cut(good.select("*", *hashes))
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")).alias("first")
-    classes = good.groupBy("label", "dim", "v").agg(first, F.count("*").alias("copies"))
+    same = ["label", "dim", "h1", "h2"]
+    classes = good.groupBy(*same).agg(first, F.count("*").alias("copies"), F.any_value("v").alias("v"))
     classes = cut(classes.withColumn("class", F.monotonically_increasing_id()))
 
     pivots = classes.sparkSession.sparkContext.broadcast(_pivots(classes))
@@ -183,11 +187,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     found = cut(whole.groupBy(*pair).applyInPandas(compare, "class long, links long, root long"))
     labels = connected_components(found.select(F.col("class").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "class")
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
-    about = classes.join(links, "class", "left").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    about = cut(about.select("label", "dim", "v", "component", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    about = classes.drop("v").join(links, "class", "left").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    about = cut(about.select(*same, "component", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     leads = about.groupBy("component").agg(F.min("first").alias("lead"))
     about = about.drop("first").join(dealt_anew(leads), "component")
-    members = good.join(about, ["label", "dim", "v"])
+    members = good.drop("v").join(about, same)
     members = members.select("id", F.col("n_links").cast("long").alias("n_links"), F.col("lead.id").alias("component_id"), (F.col("row") == F.col("lead.row")).alias("kept"))
     rest = given.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     return members.unionByName(rest).withColumnRenamed("id", id_col)
