@@ -3,22 +3,31 @@
 A window occurs only where all its shingles do, so one shingle is a necessary prefix: the one that the corpus holds
 least often.  A first scan counts the benchmark's shingles in all documents; a second joins the rare ones, keeps the
 places where the whole window fits between the bounds of the text, and compares all words there.
+
+A benchmark of up to BLOCK_CHARS characters is carried to the tasks, and rows stay where they are.  A larger one stays
+distributed: documents send the shingles that a bitmap of bounded size lets through, with the words around them, to a
+join with the windows.  Both give the same rows.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, pieces
+from sparkmask.functions.identifiers import column
+
+from .common import chunks, cut, dealt_anew, pieces
 from .textops import ALNUM, U64, Words, constants, mix
 
 SHINGLE = 3
 CHUNK = 1 << 18
-#: Characters of benchmark text that one pass over the documents carries to the tasks.
+#: Characters of benchmark text that are carried to the tasks at most.
 BLOCK_CHARS = 2_000_000
+#: Bits of the bitmap that shingles are tested by, at most, and bits for each shingle below that.
+BITMAP_BITS, BITS_EACH = 1 << 27, 16
 
 
 class Windows:
@@ -63,15 +72,20 @@ def _shingle(words: np.ndarray, k: int) -> np.ndarray:
         return mix((words * constants(k, 23)).sum(axis=1, dtype=U64) + U64(k))
 
 
-def _places(w: Words, sizes: list[int], tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(index in the sorted tokens, word index, document) wherever a text holds a token."""
+def _runs(w: Words, sizes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, document, word index) of the shingles of each size; texts of fewer words have none."""
     for k in sizes:
         h, doc, at = w.shingles(k)
-        whole = np.searchsorted(doc, np.arange(len(w.count)), "left")
-        if k > 1 and (short := (w.count > 0) & (w.count < k)).any():  # texts of fewer words gave one shorter run
+        if k > 1 and (short := (w.count > 0) & (w.count < k)).any():  # such texts gave one shorter run
             keep = np.ones(len(h), bool)
-            keep[whole[short]] = False
+            keep[np.searchsorted(doc, np.arange(len(w.count)), "left")[short]] = False
             h, doc, at = h[keep], doc[keep], at[keep]
+        yield h, doc, at
+
+
+def _places(w: Words, sizes: list[int], tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(index in the sorted tokens, word index, document) wherever a text holds a token."""
+    for h, doc, at in _runs(w, sizes):
         if len(tokens) and len(h):
             i = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
             hit = np.flatnonzero(tokens[i] == h)
@@ -99,19 +113,6 @@ def _occurrences(w: Words, windows: Windows, prefixes) -> tuple[np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
-    """The items, in blocks of at most BLOCK_CHARS characters (one item at least); only one block is held at once."""
-    block, held = [], 0
-    for row in benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string"), text_col).toLocalIterator():
-        if block and held + len(row[1]) > BLOCK_CHARS:
-            yield block
-            block, held = [], 0
-        block.append((row[0] if row[0] is not None else "", row[1]))
-        held += len(row[1])
-    if block:
-        yield block
-
-
 def _frequencies(documents: DataFrame, text_col: str, windows: Windows) -> dict[int, int]:
     """How often all documents together hold each of the windows' shingles."""
     tokens, sizes = np.unique(windows.token), windows.sizes
@@ -126,7 +127,7 @@ def _frequencies(documents: DataFrame, text_col: str, windows: Windows) -> dict[
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(tokens[at].view(np.int64)), pa.array(total[at])], ["token", "n"])
 
-    counted = documents.select(F.col(text_col).alias("text")).mapInArrow(count, "token long, n long")
+    counted = documents.select(column(text_col).alias("text")).mapInArrow(count, "token long, n long")
     rows = counted.groupBy("token").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the block has shingles at most
     return dict(zip(rows["token"].to_pylist(), rows["n"].to_pylist(), strict=True))
 
@@ -140,31 +141,116 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 10, i
     ranges are the hit runs of words as [first, end) pairs, flat.  Null and empty texts have no words.  Words are
     compared by 64-bit hashes, all words of a window each.  Repeated ids and repeated rows are rows of their own.
     """
-    kind = dict(documents.dtypes)[id_col]
-    given = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    given = given.withColumns({"n_words": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "ranges": F.array().cast("array<long>")})
-    schema = f"id {kind}, text string, n_words long, items array<string>, ranges array<long>"
-    any_block = False
-    for block in _blocks(benchmark, item_col, item_text_col):
-        any_block = True
-        windows = Windows(block, width)
-        prefixes = windows.prefixes(_frequencies(documents, text_col, windows))
-        windows.owner = windows.offset = windows.token = None  # tasks need them no more
-        given = given.mapInArrow(_finder(windows, prefixes), schema)
-    if not any_block:
-        windows = Windows([], width)
-        given = given.mapInArrow(_finder(windows, windows.prefixes({})), schema)
+    items = benchmark.where(column(item_text_col).isNotNull()).select(F.coalesce(column(item_col).cast("string"), F.lit("")).alias("item"), column(item_text_col).alias("text"))
+    given = documents.select(column(id_col).alias("id"), column(text_col).alias("text"))
+    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > BLOCK_CHARS:
+        return _joined(given, items, width).withColumnRenamed("id", id_col)
+    windows = Windows([(r["item"], r["text"]) for r in items.toArrow().to_pylist()], width)  # BLOCK_CHARS characters at most
+    prefixes = windows.prefixes(_frequencies(documents, text_col, windows))
+    windows.owner = windows.offset = windows.token = None  # tasks need them no more
+    found = given.mapInArrow(_finder(windows, prefixes), f"id {dict(given.dtypes)['id']}, n_words long, items array<string>, ranges array<long>")
     pairs = F.aggregate("ranges", F.lit(0).cast("long"), lambda s, x: x - s)  # alternating: ends minus starts
-    return given.select(F.col("id").alias(id_col), "n_words", pairs.alias("n_hit"), "items", "ranges")
+    return found.select(F.col("id").alias(id_col), "n_words", pairs.alias("n_hit"), "items", "ranges")
+
+
+def _bitmap(tokens: DataFrame):
+    """A broadcast bitmap of 64-bit hashes, of BITMAP_BITS at most: a hash whose bit isn't set is none of them."""
+    many = tokens.count()
+    bits = 1 << min(BITMAP_BITS.bit_length() - 1, max(16, (many * BITS_EACH).bit_length()))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = np.zeros(1 << 16, np.uint8)
+        part[pdf["slot"].to_numpy() & 0xFFFF] = 1
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "packed": [np.packbits(part, bitorder="little").tobytes()]})
+
+    slots = tokens.select(F.col("token").bitwiseAND(F.lit(bits - 1)).alias("slot")).withColumn("part", F.shiftright("slot", 16))
+    rows = slots.groupBy("part").applyInPandas(pack, "part long, packed binary").toArrow().to_pylist()
+    whole = np.zeros((bits >> 16, 1 << 13), np.uint8)
+    for r in rows:
+        whole[r["part"]] = np.frombuffer(r["packed"], np.uint8)
+    return tokens.sparkSession.sparkContext.broadcast(whole.ravel())
+
+
+def _set(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Indices of the hashes whose bit is set."""
+    slot = (hashes & U64(len(bitmap) * 8 - 1)).astype(np.int64)
+    return np.flatnonzero((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+
+
+def _joined(given: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """`contamination` of (id, text) by joins, for a benchmark of any size."""
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            w = Windows(list(zip(b.column("item").to_pylist(), b.column("text").to_pylist(), strict=True)), width)
+            order = np.lexsort((w.offset, w.owner))
+            first = np.searchsorted(w.owner[order], np.arange(len(w.item) + 1)).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(first), pa.array(w.token[order].view(np.int64)))
+            words = pa.array([row[:n].tobytes() for row, n in zip(w.words, w.length, strict=True)], pa.binary())
+            yield pa.record_batch([pa.array([w.names[i] for i in w.item], pa.string()), words, tokens], ["item", "words", "tokens"])
+
+    windows = cut(items.mapInArrow(cut_up, "item string, words binary, tokens array<long>"))
+    distinct = cut(windows.groupBy("words").agg(F.any_value("tokens").alias("tokens")))
+    sizes = [r[0] for r in distinct.select(F.least(F.octet_length("words") / 8, F.lit(SHINGLE)).cast("int")).distinct().collect()]  # SHINGLE rows at most
+    tokens = cut(distinct.select(F.explode("tokens").alias("token")).distinct())
+    every = _bitmap(tokens)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            texts = b.column("text").to_pylist()
+            for i, j in chunks([len(t or "") for t in texts], CHUNK):
+                found = [h[_set(every.value, h)] for h, _, _ in _runs(Words(texts[i:j], ALNUM), sizes)]
+                h, n = np.unique(np.concatenate([np.zeros(0, U64), *found]), return_counts=True)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+
+    counts = given.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    places = distinct.select("words", F.posexplode("tokens").alias("offset", "token")).join(counts, "token")
+    rarest = places.groupBy("words").agg(F.min(F.struct("n", "token", "offset")).alias("best"), F.count("*").alias("known"))
+    # a window with a shingle that no document holds occurs nowhere
+    rarest = rarest.join(distinct.select("words", F.size("tokens").alias("all")), "words").where("known = all")
+    prefix = cut(rarest.select("words", "best.token", "best.offset"))
+    rare = _bitmap(prefix.select("token").distinct())
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            texts, counted, hits = b.column("text").to_pylist(), [], [[] for _ in range(b.num_rows)]
+            for i, j in chunks([len(t or "") for t in texts], CHUNK):
+                w = Words(texts[i:j], ALNUM)
+                counted += w.count.tolist()
+                for h, doc, at in _runs(w, sizes):
+                    for x in _set(rare.value, h):
+                        d, p = int(doc[x]), int(at[x])
+                        low, high = max(int(w.first[d]), p - width + 1), min(int(w.first[d + 1]), p + width)
+                        hits[i + d].append({"token": int(h[x].view(np.int64)), "at": p - int(w.first[d]), "before": p - low, "context": w.hash[low:high].tobytes()})
+            kind = pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int64()), ("before", pa.int64()), ("context", pa.binary())]))
+            yield pa.record_batch([b.column("id"), pa.array(counted, pa.int64()), pa.array(hits, kind)], ["id", "n_words", "hits"])
+
+    shape = f"id {dict(given.dtypes)['id']}, n_words long, hits array<struct<token:long,at:long,before:long,context:binary>>"
+    rows = cut(given.mapInArrow(find, shape).withColumn("row", F.monotonically_increasing_id()))
+    near = rows.select("row", "n_words", F.inline("hits")).join(dealt_anew(prefix), "token")
+    length, start = (F.octet_length("words") / 8).cast("long"), F.col("at") - F.col("offset")
+    fits = (F.col("offset") <= F.col("before")) & (start + length <= F.col("n_words"))
+    same = F.substring(F.col("context"), ((F.col("before") - F.col("offset")) * 8 + 1).cast("int"), F.octet_length("words")) == F.col("words")
+    found = cut(near.where(fits & same).select("row", "words", start.alias("start"), (start + length).alias("end")))
+    named = found.select("row", "words").distinct().join(windows.select("words", "item").distinct(), "words")
+    named = named.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    order = Window.partitionBy("row").orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = found.select("row", "start", "end").distinct().withColumn("new", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(order)).groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    hit = runs.groupBy("row").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    out = rows.drop("hits").join(hit, "row", "left").join(named, "row", "left")
+    ranges = F.coalesce(F.flatten(F.transform("runs", lambda r: F.array(r["start"], r["end"]))), F.array().cast("array<long>"))
+    return out.select("id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ranges.alias("ranges"))
 
 
 def _finder(windows: Windows, prefixes):
-    """Adds a block's items and hit words to what blocks before it found."""
+    """The items and hit words of rows (id, text)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            texts, items, ranges = (b.column(c).to_pylist() for c in ("text", "items", "ranges"))
-            counts = []
+            texts, counts = b.column("text").to_pylist(), []
+            items, ranges = [[] for _ in texts], [[] for _ in texts]
             for i, j in chunks([len(t or "") for t in texts], CHUNK):
                 w = Words(texts[i:j], ALNUM)
                 counts.extend(w.count.tolist())
@@ -173,15 +259,13 @@ def _finder(windows: Windows, prefixes):
                     continue
                 pairs = np.unique(np.column_stack([doc, windows.item[window]]), axis=0)
                 for d, item in pairs.tolist():
-                    items[i + d] = items[i + d] + [windows.names[item]]
+                    items[i + d].append(windows.names[item])
                 for d in np.unique(doc).tolist():
-                    old = np.array(ranges[i + d], np.int64).reshape(-1, 2)
                     mine = doc == d
-                    s = np.concatenate([old[:, 0], start[mine] - w.first[d]])
-                    e = np.concatenate([old[:, 1], start[mine] - w.first[d] + windows.length[window[mine]]])
-                    ranges[i + d] = _merged(s, e, int(w.count[d]))
+                    s = start[mine] - w.first[d]
+                    ranges[i + d] = _merged(s, s + windows.length[window[mine]], int(w.count[d]))
             items = [sorted(set(x)) for x in items]
-            yield pa.record_batch([b.column("id"), b.column("text"), pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(ranges, pa.list_(pa.int64()))], ["id", "text", "n_words", "items", "ranges"])
+            yield pa.record_batch([b.column("id"), pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(ranges, pa.list_(pa.int64()))], ["id", "n_words", "items", "ranges"])
 
     return find
 

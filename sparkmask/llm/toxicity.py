@@ -183,7 +183,7 @@ def evidence(lexicon: Lexicon, y: np.ndarray, use: np.ndarray) -> tuple[np.ndarr
     which buckets of words and of n-grams so many texts hold that vectors for them are learned."""
     seen = np.zeros((2, 2, BUCKETS))  # words and n-grams, by label
     size = len(lexicon.word)
-    for d0, d1 in chunks(np.diff(lexicon.first), 1 << 17):
+    for d0, d1 in chunks(np.diff(lexicon.first), 1 << 15):
         part = slice(lexicon.first[d0], lexicon.first[d1])
         doc = np.repeat(np.arange(d0, d1), np.diff(lexicon.first[d0 : d1 + 1]))
         pairs = np.unique((doc * size + lexicon.index[part])[use[doc]])
