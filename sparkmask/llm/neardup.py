@@ -200,14 +200,15 @@ def _across(members: DataFrame, documents: DataFrame, percent: int, size: int, i
     def may_link(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
         sx, sy = (np.array(p["sketch"].tolist(), np.int64).view(U64) for p in (x, y))
         nx, ny, cx, cy = (p[c].to_numpy() for c in ("n", "component") for p in (x, y))
-        out = np.stack([np.bitwise_count(sy ^ s).sum(axis=1) <= most for s in sx])
+        sy = np.ascontiguousarray(sy.T)
+        out = np.stack([np.add.reduce(np.bitwise_count(sy ^ s[:, None]), axis=0, dtype=np.uint16) <= most for s in sx])
         return out & (cx[:, None] != cy) & (100 * np.minimum(nx[:, None], ny) >= percent * np.maximum(nx[:, None], ny))
 
     columns = ["bucket", "part", "id", "component", "n", "sketch"]
 
     def open_parts(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [pdf.iloc[:0][columns].assign(low=[], high=[])]
         x, y = (pdf[pdf["own"] == pdf[c].iloc[0]].sort_values("part") for c in ("low", "high"))
+        rows, low, high = [], [], []
         if len(x) and len(y):
             may = may_link(x, y)
             px, py = (p["part"].to_numpy() for p in (x, y))
@@ -217,9 +218,13 @@ def _across(members: DataFrame, documents: DataFrame, percent: int, size: int, i
                     j = slice(*np.searchsorted(py, [q, q + 1]))
                     if p <= q:
                         one = may[i, j]
-                        rows = [x.iloc[i][one.any(axis=1)]] + ([y.iloc[j][one.any(axis=0)]] if p < q else [])
-                        out += [r[columns].assign(low=p, high=q) for r in rows]
-        return pd.concat(out)
+                        both = [i.start + np.flatnonzero(one.any(axis=1))] + [len(x) + j.start + np.flatnonzero(one.any(axis=0))] * (p < q)
+                        rows += both
+                        low.append(np.full(sum(map(len, both)), p))
+                        high.append(np.full(len(low[-1]), q))
+        if not rows:
+            return pdf.iloc[:0][[*columns, "low", "high"]]
+        return pd.concat([x, y])[columns].iloc[np.concatenate(rows)].assign(low=np.concatenate(low), high=np.concatenate(high))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = (pdf[pdf["part"] == pdf[c].iloc[0]] for c in ("low", "high"))
@@ -234,7 +239,8 @@ def _across(members: DataFrame, documents: DataFrame, percent: int, size: int, i
         return pd.DataFrame({"a": ids, "b": ids[root]})
 
     # dealt by bucket and blocks, else all blocks of a bucket would stay in one task
-    dealt = dealt.select(*columns, "own", "low", "high").repartition("bucket", "low", "high")
+    tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much to compare
+    dealt = dealt.select(*columns, "own", "low", "high").repartition(tasks, "bucket", "low", "high")
     shape = f"bucket long, part int, id {kind}, component {kind}, n long, sketch array<long>, low int, high int"
     found = cut(dealt.groupBy("bucket", "low", "high").applyInPandas(open_parts, shape))
     full = _sets(documents, cut(found.select("id").distinct()), id_col, text_col, size)
