@@ -218,7 +218,7 @@ def _across(members: DataFrame, documents: DataFrame, percent: int, size: int, i
                     j = slice(*np.searchsorted(py, [q, q + 1]))
                     if p <= q:
                         one = may[i, j]
-                        both = [i.start + np.flatnonzero(one.any(axis=1))] + [len(x) + j.start + np.flatnonzero(one.any(axis=0))] * (p < q)
+                        both = [i.start + np.flatnonzero(one.any(axis=1))] + [len(x) + j.start + np.flatnonzero(one.any(axis=0))] * int(p < q)
                         rows += both
                         low.append(np.full(sum(map(len, both)), p))
                         high.append(np.full(len(low[-1]), q))
