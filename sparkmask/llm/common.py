@@ -1,6 +1,7 @@
 """Reading tables, cutting lineage, and walking Arrow batches in pieces of bounded size."""
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> Iterator[None]:
+    """Has Spark hand Python at most so many rows and bytes at once in what is run inside; the settings are put back after."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in names.items():
+            spark.conf.set(n, v)
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A copy in the shared checkpoint folder, whose files Spark removes once nothing refers to it any more."""
     spark = df.sparkSession
@@ -25,7 +40,8 @@ def cut(df: DataFrame) -> DataFrame:
     before = conf.get(name, "false")
     conf.set(name, "true")
     try:
-        return df.checkpoint()
+        with small_batches(spark):
+            return df.checkpoint()
     finally:
         conf.set(name, before)
 

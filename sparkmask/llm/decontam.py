@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sparkmask.functions.identifiers import column
 
-from .common import chunks, cut, dealt_anew, pieces
+from .common import chunks, cut, dealt_anew, pieces, small_batches
 from .textops import ALNUM, U64, Words, constants, mix
 
 SHINGLE = 3
@@ -128,7 +128,8 @@ def _frequencies(documents: DataFrame, text_col: str, windows: Windows) -> dict[
         yield pa.record_batch([pa.array(tokens[at].view(np.int64)), pa.array(total[at])], ["token", "n"])
 
     counted = documents.select(column(text_col).alias("text")).mapInArrow(count, "token long, n long")
-    rows = counted.groupBy("token").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the block has shingles at most
+    with small_batches(documents.sparkSession):
+        rows = counted.groupBy("token").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the block has shingles at most
     return dict(zip(rows["token"].to_pylist(), rows["n"].to_pylist(), strict=True))
 
 
