@@ -1,4 +1,4 @@
-"""The sweep: every string column of a table against every shape, in one scan and one aggregate."""
+"""The sweep: every string column against every shape, in one scan of each table and one aggregate."""
 
 from collections.abc import Iterable, Mapping
 
@@ -32,49 +32,59 @@ def string_columns(df: DataFrame) -> list[tuple[str, Column]]:
     return found
 
 
-def _marks(text: Column, known: list[str], compatible: bool) -> Column:
-    """A bit for each shape that a value leaks, and one more if the value was looked at.
+_SCHEMA = "table string, column string, pattern string, hits long, inspected long"
 
-    Whether the value is masked output is asked only once it holds a shape, which hardly any does.
-    """
+
+def _marks(text: Column, known: list[str]) -> Column:
+    """A bit for each shape that a value leaks, and one more as the value was looked at."""
+    looked, bits = F.lit(1 << len(patterns.PATTERNS)), F.col("bits")
+    return F.when((bits == 0) | patterns.is_masked(text, known), looked).otherwise(bits.bitwiseOR(looked))
+
+
+def _counted(tables: Mapping[str, DataFrame], known: Iterable[str], compatible: bool) -> DataFrame | None:
+    """The counts of all tables.  Their texts run through the same few expressions, numbered by column, so that plans
+    and generated code don't grow with the number of columns; only what holds a shape reaches the one aggregate."""
+    texts, names = None, []
+    for name, df in tables.items():
+        columns = string_columns(df)
+        if columns:
+            each = F.array(*[F.struct(F.lit(len(names) + i).alias("id"), text.alias("text")) for i, (_, text) in enumerate(columns)])
+            part = df.select(F.inline(each))
+            texts = part if texts is None else texts.union(part)
+            names += [(name, c) for c, _ in columns]
+    if texts is None:
+        return None
+    n, text = len(patterns.PATTERNS), F.col("text")
     bits = F.lit(0)
     for k, p in enumerate(patterns.PATTERNS):
         bits = bits.bitwiseOR(F.when(patterns.matches(text, p), 1 << k).otherwise(0))
-    looked = F.lit(1 << len(patterns.PATTERNS))
-    asked = patterns.prefilter(text) if compatible else bits != 0
-    return F.when(~asked, 0).when(bits == 0, looked).when(patterns.is_masked(text, known), looked).otherwise(bits.bitwiseOR(looked))
+    # whether a value is masked output is asked only once it passes here, which hardly any does
+    asked = patterns.prefilter(text) if compatible else F.col("bits") != 0
+    marks = texts.withColumn("bits", bits).where(asked).select("id", _marks(text, list(known)).alias("marks"))
+    zeros = texts.sparkSession.range(0, len(names), 1, 1).select(F.col("id").cast("int"), F.lit(0).alias("marks"))
+    bit = lambda k: F.count_if(F.col("marks").bitwiseAND(F.lit(1 << k)) != 0)
+    rows = marks.union(zeros).groupBy("id").agg(F.array(*map(bit, range(n))).alias("hits"), bit(n).alias("inspected"))
+    called = F.array(*[F.struct(F.lit(t).alias("table"), F.lit(c).alias("column")) for t, c in names])[F.col("id")]
+    shapes = F.array(*[F.lit(p) for p in patterns.PATTERNS])
+    rows = rows.select(called.alias("name"), "inspected", F.inline(F.arrays_zip(shapes.alias("pattern"), F.col("hits").alias("hits"))))
+    return rows.select("name.table", "name.column", "pattern", F.col("hits").cast("long"), F.col("inspected").cast("long"))
 
 
-def counts(df: DataFrame, known: Iterable[str] = (), compatible: bool = False) -> DataFrame:
-    """(column, pattern, hits, inspected) of a table: one row for each string column and shape, zeros included.
+def sweep(tables: Mapping[str, DataFrame], known: Iterable[str] = (), compatible: bool = False) -> DataFrame:
+    """(table, column, pattern, hits, inspected): one row for each string column and shape, zeros included.
 
     hits counts values that hold the shape and aren't masked output; a value counts once for each shape.  inspected
-    counts values of the column that hold any shape, excused ones included.
+    counts values of the column that hold any shape, excused ones included.  Each table is scanned once.
     """
-    known, columns = list(known), string_columns(df)
-    schema = "column string, pattern string, hits long, inspected long"
-    if not columns:
-        return df.sparkSession.createDataFrame([], schema)
-    marks = df.select(*[_marks(text, known, compatible).alias(f"c{i}") for i, (_, text) in enumerate(columns)])
-    bit = lambda i, k: F.count_if(F.col(f"c{i}").bitwiseAND(F.lit(1 << k)) != 0)
-    n = len(patterns.PATTERNS)
-    row = marks.agg(*[F.struct(F.array(*[bit(i, k) for k in range(n)]).alias("hits"), bit(i, n).alias("inspected")).alias(f"c{i}") for i in range(len(columns))])
-    each = F.array(*[F.struct(F.lit(name).alias("column"), F.col(f"c{i}.hits").alias("hits"), F.col(f"c{i}.inspected").alias("inspected")) for i, (name, _) in enumerate(columns)])
-    row = row.select(F.inline(each))
-    shapes = F.array(*[F.lit(p) for p in patterns.PATTERNS])
-    row = row.select("column", "inspected", F.inline(F.arrays_zip(shapes.alias("pattern"), F.col("hits").alias("hits"))))
-    return row.select("column", "pattern", F.col("hits").cast("long"), F.col("inspected").cast("long"))
+    if not tables:
+        raise ValueError("no table to sweep")
+    found = _counted(tables, known, compatible)
+    return next(iter(tables.values())).sparkSession.createDataFrame([], _SCHEMA) if found is None else found
 
 
-def sweep(tables: Mapping[str, DataFrame], known: Iterable[str] = (), compatible: bool = False) -> DataFrame:
-    """(table, column, pattern, hits, inspected) of all tables; a scan of each, and only as many rows as shapes."""
-    out = None
-    for name, df in tables.items():
-        part = counts(df, known, compatible).select(F.lit(name).alias("table"), "*")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no table to sweep")
-    return out
+def counts(df: DataFrame, known: Iterable[str] = (), compatible: bool = False) -> DataFrame:
+    """(column, pattern, hits, inspected) of one table, as in `sweep`."""
+    return sweep({"": df}, known, compatible).drop("table")
 
 
 def totals(swept: DataFrame) -> DataFrame:
