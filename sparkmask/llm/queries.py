@@ -111,6 +111,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3_pii finds of the base kinds, which SQL can express: (doc_id, n_email, n_ip, n_card, n_phone, base_sha256)."""
+    return op3_pii(spark, sf_dir).drop("spans")
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10_secrets finds of the base kinds, which SQL can express: (doc_id, n_assign, n_access, n_hex, base_sha256)."""
+    return op10_secrets(spark, sf_dir).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -123,6 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mixing_margins": mixing_margins,
     "op9_html": op9_html,
     "op10_secrets": op10_secrets,
+    "pii_base": pii_base,
+    "secrets_base": secrets_base,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -188,6 +200,46 @@ def _margins_sql(documents: str) -> str:
     return f"{_raking_sql(documents)} {each}"
 
 
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(1, len({_DIGITS}) + 1), lambda i: CAST({_DIGITS}[i] AS INT) * 2
+  - CASE WHEN (len({_DIGITS}) - i) % 2 = 0 THEN CAST({_DIGITS}[i] AS INT) WHEN CAST({_DIGITS}[i] AS INT) > 4 THEN 9 ELSE 0 END)) % 10 = 0"""
+_KEYWORD = "|".join("_?".join("".join(f"[{c}{c.upper()}]" for c in part) for part in word) for word in (("password",), ("passwd",), ("secret",), ("token",), ("api", "key")))
+_ASSIGN = rf"""({_KEYWORD})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+#: Pattern of each base kind and what its matches must be.
+_PII_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(v, '.'), lambda x: CAST(x AS DOUBLE) > 255)) = 0"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", f"len({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"len({_DIGITS}) BETWEEN 10 AND 15"),
+}
+_SECRET_KINDS = {
+    "assign": (_ASSIGN, f"len(regexp_extract(v, '{_ASSIGN}', 2)) >= 6"),
+    "access": ("AKIA[A-Z0-9]+", "len(v) >= 20"),
+    "hex": ("[0-9a-f]+", "len(v) >= 24"),
+}
+
+
+def _base_sql(kinds: dict[str, tuple[str, str]]) -> str:
+    """Counts and digest of base spans; a match begins where the parts before it and the matches before it end."""
+    each = " UNION ALL ".join(
+        f"""SELECT r, {rank} AS rank, '{kind}' AS kind, v, stop FROM (
+  SELECT r, v, sum(len(gap) + len(v)) OVER (PARTITION BY r ORDER BY i) AS stop FROM (
+    SELECT r, unnest(m) AS v, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i
+    FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS m, regexp_split_to_array(t, '{pattern}') AS g FROM texts)))
+  WHERE {valid}"""
+        for rank, (kind, (pattern, valid)) in enumerate(kinds.items())
+    )
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in kinds)
+    return f"""
+WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), found AS ({each})
+SELECT any_value(doc_id) AS doc_id, {counts},
+  sha256(coalesce(string_agg(kind || ':' || CAST(stop - len(v) AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY stop - len(v), rank), '')) AS base_sha256
+FROM texts LEFT JOIN found USING (r) GROUP BY r
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_minhash": rf"""
 WITH RECURSIVE texts AS (
@@ -252,4 +304,6 @@ FROM texts LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """,
     "op8_mixing": _mixing_sql("documents"),
     "mixing_margins": _margins_sql("documents"),
+    "pii_base": _base_sql(_PII_KINDS),
+    "secrets_base": _base_sql(_SECRET_KINDS),
 }
