@@ -6,6 +6,8 @@ round a pattern's confidence is the share of its instances that are believed, an
 patterns are.  Candidates next to a confident pattern become spans of the kind `ident`.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,11 @@ KIND = "ident"
 ROUNDS, CONFIDENT, SUPPORT = 3, 0.8, 5
 #: Characters of context on either side that words are taken from.
 CONTEXT = 48
+#: Matches that are numbered together; arrays of results are copied at each step, so long texts take them in blocks.
+BLOCK = 256
 
 _SPAN = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
+_CHECKED = "array<struct<kind:string,start:int,end:int,value:string,left:string,right:string>>"
 
 
 def _digits(value: Column) -> Column:
@@ -73,9 +78,9 @@ def _located(df: DataFrame, name: str, pattern: str, needed: str) -> DataFrame:
     df = df.withColumn("_m", F.when(may, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(empty))
     df = df.withColumn("_s", F.when(F.size("_m") > 0, F.split("text", pattern, -1)).otherwise(empty))
 
-    def step(state: Column, i: Column) -> Column:
+    def step(at: Column, i: Column) -> tuple[Column, Column]:
         before, value = F.element_at("_s", i), F.element_at("_m", i)
-        start = state["at"] + F.length(before)
+        start = at + F.length(before)
         end = start + F.length(value)
         span = F.struct(
             start.alias("start"),
@@ -84,11 +89,27 @@ def _located(df: DataFrame, name: str, pattern: str, needed: str) -> DataFrame:
             F.right(before, F.lit(CONTEXT)).alias("left"),
             F.left(F.element_at("_s", i + 1), F.lit(CONTEXT)).alias("right"),
         )
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+        return end, F.array(span)
+
+    return df.withColumn(name, _scanned(F.size("_m"), _SPAN, step)).drop("_m", "_s")
+
+
+def _scanned(n: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The items of step(carry, i) for i from 1 to n; it gives the next carry, which is 0 at first, and an array of items."""
+
+    def one(state: Column, i: Column) -> Column:
+        carry, items = step(state["carry"], i)
+        return F.struct(carry.alias("carry"), F.concat(state["out"], items).alias("out"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    all_ = F.when(F.size("_m") > 0, F.aggregate(F.sequence(F.lit(1), F.size("_m")), begin, step, lambda s: s["out"]))
-    return df.withColumn(name, F.coalesce(all_, F.array().cast(_SPAN))).drop("_m", "_s")
+    def block(state: Column, first: Column) -> Column:
+        begin = F.struct(state["carry"].alias("carry"), F.array().cast(kind).alias("out"))
+        done = F.aggregate(F.sequence(first, F.least(first + (BLOCK - 1), n)), begin, one)
+        # through an array, as the block would be made once for each field otherwise
+        return F.transform(F.array(done), lambda s: F.struct(s["carry"].alias("carry"), F.concat(state["out"], F.array(s["out"])).alias("out")))[0]
+
+    begin = F.struct(F.lit(0).alias("carry"), F.array().cast(f"array<{kind}>").alias("out"))
+    items = F.aggregate(F.sequence(F.lit(1), n, F.lit(BLOCK)), begin, block, lambda s: F.flatten(s["out"]))
+    return F.coalesce(F.when(n > 0, items), F.array().cast(kind))
 
 
 def located(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -99,8 +120,20 @@ def located(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     df = _located(df, KIND, CANDIDATE, "")
     kinds = {k: _checked(k) for k in (*PATTERNS, KIND)}
     df = df.select("id", F.concat(*[kinds[k] for k in PATTERNS]).alias("base"), kinds[KIND].alias("found"))
-    free = F.filter("found", lambda c: ~F.exists("base", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
-    return df.select("id", "base", free.alias("candidates"))
+
+    # by start, base spans first where starts are equal: a candidate overlaps one that reaches beyond its start or the next
+    def marked(spans: str, new: int) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(new).alias("new"), s["end"].alias("end"), s.alias("span")))
+
+    df = df.select("id", "base", F.when(F.size("found") > 0, F.array_sort(F.concat(marked("base", 0), marked("found", 1)))).alias("all"))
+
+    def step(reach: Column, i: Column) -> tuple[Column, Column]:
+        own, after = F.element_at("all", i), F.get("all", i)
+        base = own["new"] == 0
+        taken = base | (reach > own["start"]) | F.coalesce((after["new"] == 0) & (after["start"] < own["end"]), F.lit(False))
+        return F.when(base, F.greatest(reach, own["end"])).otherwise(reach), F.when(taken, F.array().cast(_CHECKED)).otherwise(F.array(own["span"]))
+
+    return df.select("id", "base", _scanned(F.coalesce(F.size("all"), F.lit(0)), _CHECKED, step).alias("candidates"))
 
 
 def _checked(kind: str) -> Column:

@@ -414,3 +414,19 @@ def test_classifier_queries(spark, tmp_path, op, label, cut, folds, fold):
     assert accuracy(held.score, cut, [rows[i][2 if label == "toxic" else 1] for i in held.doc_id]) > 0.9
     empty = folder(spark, tmp_path / "empty", documents=docs(spark, texts).limit(0), labels=marks.limit(0))
     assert op(spark, empty).count() == 0
+
+
+def test_candidates_keep_clear_of_base_spans_in_long_texts(spark):
+    """As by comparing all spans of a text, over several blocks; and a text of many matches takes no squared time."""
+    parts = ["ref 1234567", "a@b.example 22334455", "4111 1111 1111 1111", "+1 (234) 567 8901", "10.1.2.3", "12345678@b.example", "key 99-88-77-66", "no"]
+    texts = [" ".join(parts[(i * i + k) % len(parts)] + ("" if i % 3 else f" {i}00077") for i in range(700)) for k in range(3)] + ["", " ".join(parts)]
+    texts.append(" ".join(f"id {1000000 + i} mail a{i}@b.example" for i in range(20000)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in pii.located(df, "doc_id", "text").collect():
+        base, free = [(b["start"], b["end"]) for b in r["base"]], [(c["start"], c["end"]) for c in r["candidates"]]
+        every = [m.span() for m in re.finditer(pii.CANDIDATE, texts[r["id"]]) if sum(c.isdigit() for c in m[0]) >= pii.CANDIDATE_DIGITS]
+        if len(every) > 10000:
+            assert len(free) == len(base) == len(every) == 20000
+        else:
+            assert free == [(i, j) for i, j in every if not any(i < e and s < j for s, e in base)]
+        assert all(texts[r["id"]][c["start"] : c["end"]] == c["value"] for c in (*r["base"], *r["candidates"]))
