@@ -1,26 +1,31 @@
 """Quality classifier: Bradley-Terry pairwise ranking over whole-text statistics.
 
-A document's strength is a linear score of its features.  Pairs (kept, rejected) are drawn from labelled rows, and the
-weights come from logistic loss on the difference of the two feature vectors.  The cut is a quantile of the learned
+A document's strength is a linear score of its features.  All labelled rows are learned from: the weights are those of
+least logistic loss on the feature differences of all pairs (kept, rejected).  The cut is a quantile of all learned
 scores; scores map to 0..1 so that the cut lands on `threshold`.
 """
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, numbered, pieces, small_batches
+from . import ranking
+from .common import chunks, cut, numbered, pieces, small_batches
 from .textops import Words
 
-#: Labelled rows that are read for training, at most; the rows with the smallest hash of their id are taken.
-TRAIN_ROWS = 8_000
-#: Steps and pairs a step of gradient descent; the cost of training doesn't depend on the input.
-STEPS, PAIRS = 400, 512
+#: Labels that are broadcast to the texts, at most; beyond, all texts are measured and join the labels by shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Labelled rows that the driver learns from in its own memory, at most; beyond, it learns by passes over stored features.
+HELD_ROWS = 10_000
+#: Labelled rows that a task reads in such a pass, where there are more tasks than cores.
+TASK_ROWS = 50_000
 DECAY = 2e-3
+#: Standardised features are cut off here.
+MOST = 8.0
 #: Bytes of text that are held as arrays at once; a longer text is held alone.
 CHUNK = 1 << 18
 
@@ -86,71 +91,111 @@ def gradient(w: np.ndarray, diff: np.ndarray) -> np.ndarray:
     return -(diff * lost[:, None]).mean(0) + DECAY * w
 
 
-def train(x: np.ndarray, y: np.ndarray, threshold: float, whole: np.ndarray | None = None, seed: int = 7) -> dict:
-    """Weights by logistic loss on differences of pairs; cut at the quantile of scores that the labels' balance gives.
+def standard(model: dict, x: np.ndarray) -> np.ndarray:
+    """What weights are for: features and their hinges, by their means and deviations."""
+    return np.clip((expand(x, model["knots"]) - model["mean"]) / model["scale"], -MOST, MOST)
 
-    The cut goes by the rows marked `whole` (all by default): excerpts only widen what is known as good.
-    Without rows of both labels nothing can be ranked: all weights are then 0 and every document gets `threshold`.
+
+def train(x: np.ndarray, y: np.ndarray, threshold: float, whole: np.ndarray | None = None) -> dict:
+    """`learn` from rows in memory, all of them whole texts by default."""
+    whole = np.ones(len(x), bool) if whole is None else whole
+    return learn(ranking.Held([(x[i : i + 1024], y[i : i + 1024], whole[i : i + 1024]) for i in range(0, len(x), 1024)]), threshold)
+
+
+def learn(source: ranking.Held | ranking.Stored, threshold: float) -> dict:
+    """Weights of least logistic loss on all pairs; cut at the quantile of scores that the labels' balance gives.
+
+    Knots, means, deviations, weights and the cut are those of all rows.  The cut goes by the rows marked whole: excerpts
+    only widen what is known as good.  Without rows of both labels nothing can be ranked: all weights are then 0 and every
+    document gets `threshold`.
     """
-    rng = np.random.default_rng(seed)
-    knots = np.quantile(x, [0.05, 0.25, 0.75, 0.95], axis=0) if len(x) else np.zeros((4, _WIDTH))
-    z = expand(x, knots)
-    mean, scale = (z.mean(0), z.std(0)) if len(z) else (np.zeros(5 * _WIDTH), np.ones(5 * _WIDTH))
-    scale = np.where(scale < 1e-6, 1.0, scale)
-    z = np.clip((z - mean) / scale, -8, 8)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    w = np.zeros(z.shape[1])
-    model = {"knots": knots, "mean": mean, "scale": scale, "w": w, "cut": 0.0, "slope": 1.0, "threshold": threshold}
-    if not len(good) or not len(bad):
+    width = 5 * _WIDTH
+    model = {"knots": np.zeros((4, _WIDTH)), "mean": np.zeros(width), "scale": np.ones(width), "w": np.zeros(width), "cut": 0.0, "slope": 1.0, "threshold": threshold}
+
+    def count(out, x, y, whole):
+        out += np.bincount((y == 1) + 2 * whole.astype(np.int64), minlength=4)
+
+    def moments(out, x, y, whole):
+        z = expand(x, model["knots"])
+        out += np.concatenate([z.sum(0), (z * z).sum(0)])
+
+    counts = source.total(count, 4)
+    labels = counts[:2] + counts[2:]
+    n = int(labels.sum())
+    if not n:
+        return model
+    ranks = np.ceil(np.array([0.05, 0.25, 0.75, 0.95]) * n).astype(int) - 1
+    model["knots"] = ranking.order_statistics(source, lambda x, y, whole: x, np.tile(ranks, (_WIDTH, 1))).T
+    mean, square = source.total(moments, 2 * width).reshape(2, width) / n
+    scale = np.sqrt(np.maximum(0, square - mean**2))
+    model |= {"mean": mean, "scale": np.where(scale < 1e-6, 1.0, scale)}
+    if not labels.all():
         return model
-    first, second = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, STEPS + 1):
-        diff = z[rng.choice(good, PAIRS)] - z[rng.choice(bad, PAIRS)]
-        g = gradient(w, diff)
-        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g**2
-        w -= 0.03 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    scores = z @ w if whole is None else (z @ w)[whole]
-    rejected = float(np.mean((y if whole is None else y[whole]) == 0))
-    low, high = np.quantile(scores, [max(0.0, rejected - 0.03), min(1.0, rejected + 0.03)])
-    between = np.sort(scores[(scores >= low) & (scores <= high)])
-    gaps = np.diff(between)
-    model["cut"] = float((between[k := int(gaps.argmax())] + between[k + 1]) / 2 if len(gaps) else np.quantile(scores, rejected))
-    model["slope"] = 4.0 / max(1e-6, float(scores.std()))
+    model["w"] = ranking.descend(source, lambda x: standard(model, x), width, DECAY, MOST)
+
+    def scores(x, y, whole):
+        return (standard(model, x) @ model["w"])[whole][:, None]
+
+    def spread(out, x, y, whole):
+        s = scores(x, y, whole)
+        out += s.sum(), (s * s).sum()
+
+    seen, rejected = int(counts[2:].sum()), float(counts[2] / counts[2:].sum())
+    low, high, middle = ranking.quantiles(source, scores, seen, [max(0.0, rejected - 0.03), min(1.0, rejected + 0.03), rejected])
+    gap = source.widest(scores, low, high)
+    model["cut"] = float(sum(gap) / 2 if gap else middle)
+    mean, square = source.total(spread, 2) / seen
+    model["slope"] = 4.0 / max(1e-6, float(np.sqrt(max(0.0, square - mean**2))))
     return model
 
 
 def score(model: dict, texts: list[str | None]) -> np.ndarray:
     """0 to 1, rising with the learned strength; the quantile cut gives exactly `threshold`."""
-    z = np.clip((expand(features(texts), model["knots"]) - model["mean"]) / model["scale"], -8, 8)
-    t = model["threshold"]
+    z, t = standard(model, features(texts)), model["threshold"]
     return 1 / (1 + np.exp(-np.clip(model["slope"] * (z @ model["w"] - model["cut"]) + np.log(t / (1 - t)), -30, 30)))
 
 
-def fit(documents: DataFrame, labels: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> dict:
-    """Train on at most `rows` labelled rows, each as a whole text, and good ones as a short excerpt too.
-
-    Rows with a null id, a null text or a label other than 0 and 1 don't take part.
-    """
+def measured(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(y, whole, part): of every labelled row the features of the whole text and of an excerpt, as bytes."""
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    chosen = chosen.orderBy(F.xxhash64("id"), "id", "y").limit(rows)
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    rows_ = texts.join(F.broadcast(chosen), "id")  # at most `rows` rows are broadcast
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    if chosen.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        chosen = F.broadcast(chosen)
+        texts = texts.join(chosen, "id", "left_semi")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             texts = b.column("text").to_pylist()
-            keys = [zlib.crc32(str(k).encode()) for k in b.column("id").to_pylist()]
-            good = [i for i, y in enumerate(b.column("y").to_pylist()) if y == 1]
-            for part, at, given in ((0, range(len(texts)), texts), (1, good, [excerpt(texts[i], keys[i]) for i in good])):
-                at = pa.array(at, pa.int64())
-                x = pa.array(list(features(given)), pa.list_(pa.float64()))
-                yield pa.record_batch([b.column("id").take(at), b.column("y").take(at), pa.array([part] * len(at), pa.int32()), x], ["id", "y", "part", "x"])
+            parts = [excerpt(t, zlib.crc32(str(k).encode())) for k, t in zip(b.column("id").to_pylist(), texts, strict=True)]
+            x = [pa.array([row.tobytes() for row in features(given)], pa.binary()) for given in (texts, parts)]
+            yield pa.record_batch([b.column("id"), *x], ["id", "whole", "part"])
 
+    # one function for Python in a stage, as each has a process of its own in every task
     kind = dict(documents.dtypes)[id_col]
-    with small_batches(documents.sparkSession):
-        got = rows_.select("id", "y", "text").mapInArrow(measure, f"id {kind}, y int, part int, x array<double>").toPandas().sort_values(["part", "id", "y"])
-    x = np.array(got["x"].tolist()).reshape(len(got), _WIDTH)
-    return train(x, got["y"].to_numpy(), threshold, (got["part"] == 0).to_numpy())
+    return texts.mapInArrow(measure, f"id {kind}, whole binary, part binary").join(chosen, "id").select("y", "whole", "part")
+
+
+def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What is learned from rows of `measured`: all whole texts, and excerpts of good ones."""
+    for b in pieces(batches, rows=256):
+        y = b.column("y").to_numpy()
+        whole, part = (np.frombuffer(b"".join(b.column(c).to_pylist())).reshape(-1, _WIDTH) for c in ("whole", "part"))
+        good = y == 1
+        yield np.concatenate([whole, part[good]]), np.concatenate([y, y[good]]), np.arange(len(y) + good.sum()) < len(y)
+
+
+def fit(documents: DataFrame, labels: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
+    """Train on all labelled rows, each as a whole text, and good ones as a short excerpt too.
+
+    Rows with a null id, a null text or a label other than 0 and 1 don't take part.
+    """
+    rows = cut(measured(documents, labels, id_col, text_col, label_col))
+    n = rows.count()
+    if n <= HELD_ROWS:
+        with small_batches(documents.sparkSession):
+            return learn(ranking.Held(list(blocks(rows.toArrow().to_batches()))), threshold)
+    tasks = max(documents.sparkSession.sparkContext.defaultParallelism, n // TASK_ROWS)
+    return learn(ranking.Stored(rows.coalesce(tasks), blocks), threshold)
 
 
 def apply(documents: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
